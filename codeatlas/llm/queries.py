@@ -10,12 +10,14 @@ from codeatlas.llm.chat_format import OP2_SQL, op2_chat_format
 from codeatlas.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from codeatlas.llm.importance import op4_importance_resampling
 from codeatlas.llm.language_id import op8_language_id
+from codeatlas.llm.line_dedup import op3_line_dedup
 from codeatlas.llm.packing import op6_best_fit_packing
 from codeatlas.llm.token_count import op10_token_counts
 from codeatlas.llm.url_filter import OP7_SQL, op7_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
+    "op3_line_dedup": op3_line_dedup,
     "op4_importance_resampling": op4_importance_resampling,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from codeatlas.llm.chat_format import OP2_SQL, op2_chat_format
 from codeatlas.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from codeatlas.llm.importance import op4_importance_resampling
+from codeatlas.llm.jaccard_join import op9_jaccard_join
 from codeatlas.llm.language_id import op8_language_id
 from codeatlas.llm.line_dedup import op3_line_dedup
 from codeatlas.llm.packing import op6_best_fit_packing
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_url_filter": op7_url_filter,
     "op8_language_id": op8_language_id,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_token_counts": op10_token_counts,
 }
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codeatlas.llm.chat_format import OP2_SQL, op2_chat_format
+from codeatlas.llm.decontamination import op1_decontamination
 from codeatlas.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from codeatlas.llm.importance import op4_importance_resampling
 from codeatlas.llm.jaccard_join import op9_jaccard_join
@@ -17,6 +18,7 @@ from codeatlas.llm.token_count import op10_token_counts
 from codeatlas.llm.url_filter import OP7_SQL, op7_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_chat_format": op2_chat_format,
     "op3_line_dedup": op3_line_dedup,
     "op4_importance_resampling": op4_importance_resampling,

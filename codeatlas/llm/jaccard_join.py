@@ -15,7 +15,7 @@ least PERCENT / 100; the result gives each document its component under links.
    group; those around SMALL index both ways.
 4. Classes that meet in a signature are compared, in blocks, by size and by a vector of BINS counts
    of their shingles: the L1 distance of the vectors is at most the size of the symmetric
-   difference. Only pairs that pass become candidates.
+   difference. Pairs that pass are compared by vectors of WIDE counts, under the same bound.
 5. Candidates are verified on the texts: first one partner per class, which joins groups of near
    copies like a star, then only the pairs that are still in different components.
 
@@ -41,7 +41,7 @@ from codeatlas.llm.textkernel import mix, shingle_sets
 SKETCH, BLOCK = 1 << 20, 1 << 14
 FREQUENT = 8.0
 CLASSES, SMALL = 32, 64
-BINS = 16
+BINS, WIDE = 16, 1024
 #: Rows of one signature compared at once.
 TILE = 1024
 #: Class names whose signatures a task remembers having given.
@@ -264,10 +264,31 @@ def candidates(index: DataFrame, percent: int) -> DataFrame:
     return index.repartition("sig").sortWithinPartitions("sig", "n").mapInArrow(run, PAIRS).distinct()
 
 
-def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def close_pairs(spark: SparkSession, texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of (a, b) document pairs, those that pass the bound of step 4 on vectors of WIDE counts."""
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, found = [], []
+            for _, own in shingle_sets(b.column(1), n):
+                sizes.append(len(own))
+                found.append(np.minimum(np.bincount((own >> U(20)).astype(np.int64) & WIDE - 1, minlength=WIDE), 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "n", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            va, vb = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint8).reshape(-1, WIDE).astype(np.int16) for k in (3, 5))
+            na, nb = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 4))
+            mask = pa.array(np.abs(va - vb).sum(axis=1) * (100 + percent) <= (100 - percent) * (na + nb))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
+
+    wide = written(spark, texts.mapInArrow(vectors, "doc_id long, n long, v binary"), "vectors")
+    both = pairs.join(wide.toDF("a", "na", "va"), "a").join(wide.toDF("b", "nb", "vb"), "b")
+    return written(spark, both.select("a", "b", "na", "va", "nb", "vb").mapInArrow(run, "a long, b long"), "close")
+
+
+def verified(spark: SparkSession, texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Of (a, b) document pairs, those that link."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(spark, docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair_texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -295,12 +316,15 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 3, percent:
         found.join(named.toDF("a1", "a2", "a"), ["a1", "a2"]).join(named.toDF("b1", "b2", "b"), ["b1", "b2"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b"),
         "pairs",
     )
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = written(spark, docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair_texts")
+    pairs = close_pairs(spark, texts, pairs, n, percent)
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = verified(spark, docs, first, n, percent)
+    links = verified(spark, texts, first, n, percent)
     roots = written(spark, connected_components(spark, links), "roots")
     left = pairs.join(first, ["a", "b"], "left_anti").join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
     left = left.where("NOT coalesce(ra, a) <=> coalesce(rb, b)").select("a", "b")
-    more = verified(spark, docs, left, n, percent)
+    more = verified(spark, texts, left, n, percent)
     if more.limit(1).count():
         roots = written(spark, connected_components(spark, links.unionByName(more)), "roots")
     component = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", "n_shingles", F.coalesce("root", "rep").alias("component"), "n")

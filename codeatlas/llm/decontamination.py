@@ -73,8 +73,9 @@ def with_windows(rows: DataFrame, places: DataFrame, id_col: str, name: str) ->
     others = [c for c in places.columns if c != id_col]
     lists = places.groupBy(id_col).agg(F.collect_list(F.struct(*others)).alias("places"))
     tokens = rows.select(id_col, "text").join(lists, id_col).select(id_col, "places", canonical_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    cut = F.transform("places", lambda p: F.struct(*[p[c].alias(c) for c in others], F.slice("tokens", p["at"] + 1, WINDOW).alias(name)))
-    return tokens.select(id_col, cut.alias("cut")).select(id_col, F.explode("cut").alias("c")).select(id_col, "c.*")
+    # the generator between keeps the tokens from being computed once per place
+    each = tokens.select(id_col, "tokens", F.explode("places").alias("p"))
+    return each.select(id_col, *[F.col("p")[c].alias(c) for c in others], F.slice("tokens", F.col("p.at") + 1, WINDOW).alias(name))
 
 
 def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -13,11 +13,13 @@ least PERCENT / 100; the result gives each document its component under links.
    shingles it indexes number one more than a partner may miss, where g frequent shingles of one
    group count g - 1, so linked classes share a signature. Sets of at most SMALL shingles use one
    group; those around SMALL index both ways.
-4. Classes that meet in a signature are compared, in blocks, by size and by a vector of BINS counts
-   of their shingles: the L1 distance of the vectors is at most the size of the symmetric
+4. Classes that meet in a signature are compared, in tiles, by size and by vectors of counts of
+   their shingles in bins: the L1 distance of the vectors is at most the size of the symmetric
    difference. Pairs that pass are compared by vectors of WIDE counts, under the same bound.
-5. Candidates are verified on the texts: first one partner per class, which joins groups of near
-   copies like a star, then only the pairs that are still in different components.
+5. What is left is verified on the texts: first, for each class and signature, the first partner
+   that passes, which joins a group of near copies like a star; then, in the same groups, only pairs
+   that are still in different components. So a group of near copies costs pairs in proportion to its
+   size, and no link is lost.
 
 Null and blank texts have an empty set and link with nothing, not even each other. Repeated ids
 are rows of their own. Texts of fewer words than n give their whole sequence as one shingle. Very
@@ -41,7 +43,7 @@ from codeatlas.llm.textkernel import mix, shingle_sets
 SKETCH, BLOCK = 1 << 20, 1 << 14
 FREQUENT = 8.0
 CLASSES, SMALL = 32, 64
-BINS, WIDE = 16, 1024
+WIDE = 1024
 #: Rows of one signature compared at once.
 TILE = 1024
 #: Class names whose signatures a task remembers having given.
@@ -49,12 +51,30 @@ SEEN = 200_000
 U = np.uint64
 
 
-def set_name(own: np.ndarray) -> tuple[int, int]:
+def bins(own: np.ndarray) -> np.ndarray:
+    """Four numbers: 16 counts of one byte (at most 255), then 64 counts modulo 4 in Gray code.
+
+    The Hamming distance of Gray codes is the circular distance of the counts, at most their difference.
+    """
+    wide = np.minimum(np.bincount((own >> U(60)).astype(np.int64), minlength=16), 255).astype(np.uint8)
+    fine = np.bincount((own >> U(50)).astype(np.int64) & 63, minlength=64).astype(np.uint8) & 3
+    fine ^= fine >> 1
+    bits = np.stack([fine & 1, fine >> 1]).reshape(-1)
+    return np.concatenate([wide, np.packbits(bits)]).view("<i8")
+
+
+def second_name(n: np.ndarray, v: list[np.ndarray]) -> np.ndarray:
+    """The second half of set names, from sizes and the numbers of `bins`."""
+    h = mix(n.astype(np.uint64))
+    for x in v:
+        h = mix(h * U(3) + x.view(np.uint64))
+    return h.view(np.int64)
+
+
+def set_name(own: np.ndarray, vector: np.ndarray) -> tuple[int, int]:
     """128-bit name of a sorted distinct shingle set, as two signed numbers."""
-    with np.errstate(over="ignore"):
-        a = mix(np.array([np.add.reduce(mix(own))], dtype=np.uint64) + U(len(own)))[0]
-        b = mix(np.array([np.bitwise_xor.reduce(mix(own ^ U(0x5DEECE66D))) if len(own) else U(0)], dtype=np.uint64) + U(len(own)))[0]
-    return int(np.int64(a)), int(np.int64(b))
+    a = mix(np.array([np.add.reduce(mix(own))], dtype=np.uint64) + U(len(own)))
+    return int(a.view(np.int64)[0]), int(second_name(np.array([len(own)]), [vector[k : k + 1] for k in range(4)])[0])
 
 
 SETS = "doc_id long, n_shingles long, c1 long, c2 long"
@@ -65,7 +85,7 @@ def named_sets(docs: DataFrame, n: int) -> DataFrame:
         for b in batches:
             sizes, c1, c2 = [], [], []
             for _, own in shingle_sets(b.column(1), n):
-                x, y = set_name(own)
+                x, y = set_name(own, bins(own))
                 sizes.append(len(own))
                 c1.append(x)
                 c2.append(y)
@@ -137,14 +157,10 @@ def signatures(own: np.ndarray, frequent: np.ndarray, percent: int, groups: int)
     return np.concatenate(out)
 
 
-def bins(own: np.ndarray) -> tuple[int, int]:
-    """BINS counts of one byte each (at most 255), as two signed numbers."""
-    counts = np.minimum(np.bincount((own >> U(60)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
-    a, b = counts.view("<i8")
-    return int(a), int(b)
+ROWS = "sig long, c1 long, n int, v0 long, v1 long, v2 long, v3 long"
 
 
-ROWS = "sig long, c1 long, c2 long, n int, v1 long, v2 long"
+ROW_NAMES = [c.split()[0] for c in ROWS.split(", ")]
 
 
 def index_rows(spark: SparkSession, docs: DataFrame, n: int, percent: int, flags: np.ndarray) -> DataFrame:
@@ -155,11 +171,12 @@ def index_rows(spark: SparkSession, docs: DataFrame, n: int, percent: int, flags
         flagged = np.unpackbits(shared.value).astype(bool)
         done: set[tuple[int, int]] = set()
         for b in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+            parts: list[list[np.ndarray]] = [[] for _ in range(7)]
             for _, own in shingle_sets(b.column(0), n):
                 if len(own) < least:
                     continue
-                name = set_name(own)
+                vector = bins(own)
+                name = set_name(own, vector)
                 if name in done:
                     continue
                 if len(done) >= SEEN:
@@ -168,100 +185,119 @@ def index_rows(spark: SparkSession, docs: DataFrame, n: int, percent: int, flags
                 hot = flagged[(own & U(SKETCH - 1)).astype(np.int64)]
                 ways = [g for g, use in ((1, len(own) * percent <= SMALL * 100), (CLASSES, len(own) * 100 >= SMALL * percent)) if use]
                 sig = np.unique(np.concatenate([signatures(own, hot, percent, g) for g in ways]))
-                for part, value in zip(parts, (None, *name, len(own), *bins(own)), strict=True):
+                for part, value in zip(parts, (None, name[0], len(own), *vector.tolist()), strict=True):
                     part.append(sig.view(np.int64) if value is None else np.full(len(sig), value, dtype=np.int64))
             if parts[0]:
                 cols = [np.concatenate(p) for p in parts]
                 for a in range(0, len(cols[0]), 1 << 17):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 17)], pa.int32() if k == 3 else pa.int64()) for k, c in enumerate(cols)], ["sig", "c1", "c2", "n", "v1", "v2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 17)], pa.int32() if k == 2 else pa.int64()) for k, c in enumerate(cols)], ROW_NAMES)
 
     return docs.select("text").mapInArrow(run, ROWS)
 
 
-PAIRS = "a1 long, a2 long, b1 long, b2 long"
-
-
-def candidates(index: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a signature and pass the size and vector bounds (a before b)."""
-
-    def emit(block: list[np.ndarray], other: list[np.ndarray], same: bool) -> np.ndarray | None:
-        """Rows (a1, a2, b1, b2) of the pairs of two tiles of one signature, sorted by size."""
-        na, nb = block[3][:, None], other[3][None, :]
-        ok = np.minimum(na, nb) * 100 >= percent * np.maximum(na, nb)
-        if same:
-            ok &= np.triu(np.ones(ok.shape, dtype=bool), 1)
-        i, j = np.nonzero(ok)
-        return survivors(block, other, i, j)
-
-    def survivors(block: list[np.ndarray], other: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray | None:
-        if not len(i):
-            return None
-        va = np.stack([block[4][i], block[5][i]], axis=1).view(np.uint8).astype(np.int16)
-        vb = np.stack([other[4][j], other[5][j]], axis=1).view(np.uint8).astype(np.int16)
-        apart = np.abs(va - vb).sum(axis=1)
-        # inter / union >= p means |a ^ b| <= (1 - p) / (1 + p) * (|a| + |b|)
-        keep = (apart * (100 + percent) <= (100 - percent) * (block[3][i] + other[3][j])) & ((block[1][i] != other[1][j]) | (block[2][i] != other[2][j]))
-        i, j = i[keep], j[keep]
-        if not len(i):
-            return None
-        rows = np.stack([block[1][i], block[2][i], other[1][j], other[2][j]], axis=1)
-        swap = (rows[:, 0] > rows[:, 2]) | ((rows[:, 0] == rows[:, 2]) & (rows[:, 1] > rows[:, 3]))
-        rows[swap] = rows[swap][:, [2, 3, 0, 1]]
-        return rows
+def passing(one: list[np.ndarray], two: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows (i of one, j of two) of different classes pass the size and vector bounds.
+
+    inter / union >= p means |a ^ b| <= (1 - p) / (1 + p) * (|a| + |b|).
+    """
+    na, nb = one[2][i], two[2][j]
+    ok = np.flatnonzero((np.minimum(na, nb) * 100 >= percent * np.maximum(na, nb)) & ((one[1][i] != two[1][j]) | (na != nb)))
+    i, j, most = i[ok], j[ok], (100 - percent) * (na[ok] + nb[ok])
+    fine = sum(np.bitwise_count((one[k][i] ^ two[k][j]).view(np.uint64)).astype(np.int64) for k in (5, 6))
+    keep = fine * (100 + percent) <= most
+    ok, i, j, most = ok[keep], i[keep], j[keep], most[keep]
+    va, vb = (np.stack([c[3][k], c[4][k]], axis=1).view(np.uint8).astype(np.int16) for c, k in ((one, i), (two, j)))
+    return ok[np.abs(va - vb).sum(axis=1) * (100 + percent) <= most]
+
+
+def groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[list[np.ndarray], list[tuple[list[np.ndarray], np.ndarray, np.ndarray]], bool]]:
+    """Blocks of rows sorted by signature and size: (rows, [(earlier rows, i, j)], whether groups are whole).
+
+    i and j are the passing pairs of an earlier row and a row of the block, of one signature.
+    Whole small groups of a batch come together; others in tiles, against the tiles kept from before,
+    of which those that are too small for any row to come are forgotten.
+    """
+    tiles: list[list[np.ndarray]] = []
+    last = None
+    for b in batches:
+        cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(b.num_columns)]
+        sig = cols[0]
+        if not len(sig):
+            continue
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(sig)) + 1, [len(sig)]])
+        sizes = np.diff(bounds)
+        inner = np.ones(len(sizes), dtype=bool)
+        inner[[0, -1]] = False
+        few = inner & (sizes > 1) & (sizes <= 64)
+        end = np.repeat(np.where(few, bounds[1:], -1), sizes)
+        pairs = []
+        for d in range(1, int(sizes[few].max()) if few.any() else 0):
+            i = np.flatnonzero(np.arange(len(sig)) + d < end)
+            ok = passing(cols, cols, i, i + d, percent)
+            if len(ok):
+                pairs.append((cols, i[ok], i[ok] + d))
+        yield cols, pairs, True
+        for k in np.flatnonzero((sizes > 64) | ~inner):
+            if sig[bounds[k]] != last:
+                tiles, last = [], sig[bounds[k]]
+            for a in range(bounds[k], bounds[k + 1], TILE):
+                tile = [c[a : min(a + TILE, bounds[k + 1])] for c in cols]
+                tiles = [t for t in tiles if int(t[2][-1]) * 100 >= percent * int(tile[2][0])]
+                pairs = []
+                for t in [*tiles, tile]:
+                    i, j = np.triu_indices(len(t[0]), 1) if t is tile else (x.reshape(-1) for x in np.indices((len(t[0]), len(tile[0]))))
+                    ok = passing(t, tile, i, j, percent)
+                    if len(ok):
+                        pairs.append((t, i[ok], j[ok]))
+                tiles.append(tile)
+                yield tile, pairs, False
+
+
+LIVE = ROWS + ", c2 long, p1 long, p2 long"
+
+
+def live_rows(index: DataFrame, percent: int) -> DataFrame:
+    """Index rows with a passing partner of their signature, and the first such partner (p1, p2) before them.
+
+    Rows of groups that are not seen whole stay in any case; a row without a partner before it names itself.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, pairs, whole in groups(batches, percent):
+            n = len(cols[0])
+            c2 = second_name(cols[2], cols[3:7])
+            p1, p2, free, live = cols[1].copy(), c2.copy(), np.ones(n, dtype=bool), np.full(n, not whole)
+            order = sorted(pairs, key=lambda x: -int((x[2] - x[1]).max())) if whole else pairs
+            for earlier, i, j in order:
+                if whole:
+                    live[i] = True
+                live[j] = True
+                j, at = np.unique(j, return_index=True)  # pairs come by ascending i
+                new = free[j]
+                j, i = j[new], i[at][new]
+                p1[j], p2[j], free[j] = earlier[1][i], second_name(earlier[2][i], [earlier[k][i] for k in range(3, 7)]), False
+            if live.any():
+                out = [*(c[live] for c in cols), c2[live], p1[live], p2[live]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 2 else pa.int64()) for k, c in enumerate(out)], [*ROW_NAMES, "c2", "p1", "p2"])
+
+    return index.repartition("sig").sortWithinPartitions("sig", "n").mapInArrow(run, LIVE)
+
+
+def apart(live: DataFrame, percent: int) -> DataFrame:
+    """Distinct passing pairs (a, b) of documents in different components; live has rep and root behind ROWS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tiles: list[list[np.ndarray]] = []  # of the signature that is not finished
-
-        def large(group: list[np.ndarray]) -> Iterator[np.ndarray]:
-            """Pairs of the new tile with itself and with kept tiles that its sizes can reach."""
-            nonlocal tiles
-            tiles = [t for t in tiles if int(t[3][-1]) * 100 >= percent * int(group[3][0])]
-            for t in [*tiles, group]:
-                got = emit(t, group, t is group)
-                if got is not None:
-                    yield got
-            tiles.append(group)
-
-        def out(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            if found:
+        for cols, pairs, _ in groups(batches, percent):
+            found = []
+            for earlier, i, j in pairs:
+                keep = earlier[8][i] != cols[8][j]
+                a, b = earlier[7][i[keep]], cols[7][j[keep]]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+            if found and sum(map(len, found)):
                 rows = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], ["a1", "a2", "b1", "b2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (0, 1)], ["a", "b"])
 
-        last = None
-        for b in batches:
-            cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)]
-            sig, found = cols[0], []
-            edge = np.flatnonzero(np.diff(sig)) + 1
-            bounds = np.concatenate([[0], edge, [len(sig)]])
-            sizes = np.diff(bounds)
-            # signatures wholly inside the batch with few rows: all pairs at distance d, at once
-            inner = np.ones(len(sizes), dtype=bool)
-            inner[[0, -1]] = False
-            few = inner & (sizes > 1) & (sizes <= 64)
-            end = np.zeros(len(sig), dtype=np.int64)
-            end[:] = -1
-            for s, e in zip(bounds[:-1][few], bounds[1:][few], strict=True):
-                end[s:e] = e
-            for d in range(1, int(sizes[few].max()) if few.any() else 0):
-                i = np.flatnonzero(np.arange(len(sig)) + d < end)
-                j = i + d
-                fits = cols[3][i] * 100 >= percent * cols[3][j]
-                got = survivors(cols, cols, i[fits], j[fits])
-                if got is not None:
-                    found.append(got)
-            for k in np.flatnonzero(~few & ((sizes > 64) | ~inner)):
-                s, e = bounds[k], bounds[k + 1]
-                if sig[s] != last:
-                    tiles, last = [], sig[s]
-                for a in range(s, e, TILE):
-                    for got in large([c[a : min(a + TILE, e)] for c in cols]):
-                        found.append(got)
-                        if sum(map(len, found)) > 1 << 18:
-                            yield from out(found)
-                            found = []
-            yield from out(found)
-
-    return index.repartition("sig").sortWithinPartitions("sig", "n").mapInArrow(run, PAIRS).distinct()
+    return live.select(*ROW_NAMES, "rep", "root").repartition("sig").sortWithinPartitions("sig", "n").mapInArrow(run, "a long, b long").distinct()
 
 
 def close_pairs(spark: SparkSession, texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -309,22 +345,16 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 3, percent:
     sets = written(spark, named_sets(docs, n), "sets")
     classes = written(spark, sets.where("n_shingles > 0").groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     index = index_rows(spark, docs, n, percent, frequent_buckets(spark, docs, n))
-    found = candidates(index, percent)
     named = classes.select("c1", "c2", "rep")
-    pairs = written(
-        spark,
-        found.join(named.toDF("a1", "a2", "a"), ["a1", "a2"]).join(named.toDF("b1", "b2", "b"), ["b1", "b2"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b"),
-        "pairs",
-    )
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = written(spark, docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair_texts")
-    pairs = close_pairs(spark, texts, pairs, n, percent)
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = verified(spark, texts, first, n, percent)
+    live = written(spark, live_rows(index, percent).join(named, ["c1", "c2"]), "live")
+    star = live.where("c1 <> p1 OR c2 <> p2").select("rep", "p1", "p2").distinct().join(named.toDF("p1", "p2", "other"), ["p1", "p2"])
+    first = written(spark, star.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).where("a <> b").distinct(), "star")
+    texts = written(spark, docs.join(live.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair_texts")
+    links = verified(spark, texts, close_pairs(spark, texts, first, n, percent), n, percent)
     roots = written(spark, connected_components(spark, links), "roots")
-    left = pairs.join(first, ["a", "b"], "left_anti").join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
-    left = left.where("NOT coalesce(ra, a) <=> coalesce(rb, b)").select("a", "b")
-    more = verified(spark, texts, left, n, percent)
+    rooted = live.join(roots.toDF("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    left = written(spark, apart(rooted, percent).join(first, ["a", "b"], "left_anti"), "left")
+    more = verified(spark, texts, close_pairs(spark, texts, left, n, percent), n, percent)
     if more.limit(1).count():
         roots = written(spark, connected_components(spark, links.unionByName(more)), "roots")
     component = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", "n_shingles", F.coalesce("root", "rep").alias("component"), "n")

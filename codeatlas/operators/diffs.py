@@ -126,7 +126,7 @@ def blame_summary(lines: DataFrame) -> DataFrame:
     """Lines and share per author, with the latest date."""
     per = lines.groupBy("id", "author").agg(F.count("*").alias("lines"), F.max("date").alias("latest"))
     total = F.sum("lines").over(W.partitionBy("id"))
-    return per.select("id", "author", "lines", F.expr("1") * F.floor(F.col("lines") * 100 / total).cast("long").alias("percent"), "latest")
+    return per.select("id", "author", "lines", F.floor(F.col("lines") * 100 / total).cast("long").alias("percent"), "latest")
 
 
 def log_entries(logs: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def token_estimate(columns: list[str], project: Column | None = None) -> Column:
         size = size + F.octet_length(F.coalesce(c, F.lit("")))
     if project is not None:
         size = size + F.when(project, 28 + F.octet_length("id")).otherwise(0)
-    return F.expr("1") * F.floor((size + 3) / 4).cast("long")
+    return F.floor((size + 3) / 4).cast("long")
 
 
 def top(scored: DataFrame, limit: int) -> DataFrame:

@@ -97,6 +97,6 @@ def dependencies(manifests: DataFrame) -> DataFrame:
                     rows += [{"repo": repo} | d for d in (reader(content) if reader else [])]
                 except (ValueError, tomllib.TOMLDecodeError):
                     continue
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None)
 
     return manifests.select("repo", "path", "content").mapInPandas(run, DEPENDENCIES)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeatlas.functions.text import fnv1a
+
 #: Directories that are never walked, and the extensions of source files.
 PRUNED = ("target", "node_modules", "dist", ".next", "build", ".nuxt", ".output", "__pycache__", "venv", "env")
 EXTENSIONS = ("rs", "ts", "tsx", "js", "jsx", "py")
@@ -34,10 +37,6 @@ def scan(spark: SparkSession, root: str, extra_prune: tuple[str, ...] = ()) -> D
 
 def with_hash(files: DataFrame) -> DataFrame:
     """Adds the 64-bit FNV-1a content hash."""
-    import pandas as pd
-
-    from codeatlas.functions.text import fnv1a
-
     @F.pandas_udf("string")
     def digest(text: pd.Series) -> pd.Series:
         return text.map(lambda t: fnv1a(t or ""))

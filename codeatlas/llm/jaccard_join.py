@@ -16,10 +16,10 @@ least PERCENT / 100; the result gives each document its component under links.
 4. Classes that meet in a signature are compared, in tiles, by size and by vectors of counts of
    their shingles in bins: the L1 distance of the vectors is at most the size of the symmetric
    difference. Pairs that pass are compared by vectors of WIDE counts, under the same bound.
-5. What is left is verified on the texts: first, for each class and signature, the first partner
-   that passes, which joins a group of near copies like a star; then, in the same groups, only pairs
-   that are still in different components. So a group of near copies costs pairs in proportion to its
-   size, and no link is lost.
+5. What is left is verified on the texts: in STARS rounds, for each row of the index, the first
+   partner of another component, which joins groups of near copies like stars; then all pairs that
+   are still in different components. So a group of near copies costs pairs in proportion to its size
+   as far as its links connect it, and no link is lost.
 
 Null and blank texts have an empty set and link with nothing, not even each other. Repeated ids
 are rows of their own. Texts of fewer words than n give their whole sequence as one shingle. Very
@@ -46,6 +46,8 @@ CLASSES, SMALL = 32, 64
 WIDE = 1024
 #: Rows of one signature compared at once.
 TILE = 1024
+#: Rounds that join groups like stars before all pairs of different components are compared.
+STARS = 2
 #: Class names whose signatures a task remembers having given.
 SEEN = 200_000
 U = np.uint64
@@ -253,51 +255,71 @@ def groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[li
                 yield tile, pairs, False
 
 
-LIVE = ROWS + ", c2 long, p1 long, p2 long"
+LIVE = ROWS + ", c2 long"
 
 
 def live_rows(index: DataFrame, percent: int) -> DataFrame:
-    """Index rows with a passing partner of their signature, and the first such partner (p1, p2) before them.
-
-    Rows of groups that are not seen whole stay in any case; a row without a partner before it names itself.
-    """
+    """Index rows with a passing partner of their signature; those of groups not seen whole stay in any case."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, pairs, whole in groups(batches, percent):
-            n = len(cols[0])
-            c2 = second_name(cols[2], cols[3:7])
-            p1, p2, free, live = cols[1].copy(), c2.copy(), np.ones(n, dtype=bool), np.full(n, not whole)
-            order = sorted(pairs, key=lambda x: -int((x[2] - x[1]).max())) if whole else pairs
-            for earlier, i, j in order:
-                if whole:
-                    live[i] = True
-                live[j] = True
-                j, at = np.unique(j, return_index=True)  # pairs come by ascending i
-                new = free[j]
-                j, i = j[new], i[at][new]
-                p1[j], p2[j], free[j] = earlier[1][i], second_name(earlier[2][i], [earlier[k][i] for k in range(3, 7)]), False
+            live = np.full(len(cols[0]), not whole)
+            for _, i, j in pairs if whole else ():
+                live[i] = live[j] = True
             if live.any():
-                out = [*(c[live] for c in cols), c2[live], p1[live], p2[live]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 2 else pa.int64()) for k, c in enumerate(out)], [*ROW_NAMES, "c2", "p1", "p2"])
+                out = [*(c[live] for c in cols), second_name(cols[2], cols[3:7])[live]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 2 else pa.int64()) for k, c in enumerate(out)], [*ROW_NAMES, "c2"])
 
     return index.repartition("sig").sortWithinPartitions("sig", "n").mapInArrow(run, LIVE)
 
 
-def apart(live: DataFrame, percent: int) -> DataFrame:
-    """Distinct passing pairs (a, b) of documents in different components; live has rep and root behind ROWS."""
+SHARP = 8
+SHARP_NAMES = [f"w{k}" for k in range(SHARP)]
+
+
+def sharp_vectors(texts: DataFrame, n: int) -> DataFrame:
+    """(rep, w0..): counts of 32 * SHARP bins modulo 4 in Gray code, as `bins` has 64."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for _, own in shingle_sets(b.column(1), n):
+                fine = np.bincount((own >> U(30)).astype(np.int64) & 32 * SHARP - 1, minlength=32 * SHARP).astype(np.uint8) & 3
+                fine ^= fine >> 1
+                rows.append(np.packbits(np.stack([fine & 1, fine >> 1]).reshape(-1)).view("<i8"))
+            both = np.array(rows, dtype=np.int64).reshape(-1, SHARP)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(both[:, k])) for k in range(SHARP))], ["rep", *SHARP_NAMES])
+
+    return texts.mapInArrow(run, "rep long, " + ", ".join(f"{w} long" for w in SHARP_NAMES))
+
+
+def apart(live: DataFrame, percent: int, one: bool) -> DataFrame:
+    """Distinct pairs (a, b) of documents in different components that pass all vector bounds.
+
+    `live` has rep, root and the sharp vectors behind ROWS. With `one`, each row only gives the
+    pair with the first row before it that passes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols, pairs, _ in groups(batches, percent):
-            found = []
-            for earlier, i, j in pairs:
+        for cols, pairs, whole in groups(batches, percent):
+            found, free = [], np.ones(len(cols[0]), dtype=bool)
+            for earlier, i, j in reversed(pairs) if whole else pairs:  # earliest partners first
                 keep = earlier[8][i] != cols[8][j]
-                a, b = earlier[7][i[keep]], cols[7][j[keep]]
+                i, j = i[keep], j[keep]
+                far = sum(np.bitwise_count((earlier[9 + k][i] ^ cols[9 + k][j]).view(np.uint64)).astype(np.int64) for k in range(SHARP))
+                keep = far * (100 + percent) <= (100 - percent) * (earlier[2][i] + cols[2][j])
+                i, j = i[keep], j[keep]
+                if one:
+                    j, at = np.unique(j, return_index=True)
+                    i, j = i[at][free[j]], j[free[j]]
+                    free[j] = False
+                a, b = earlier[7][i], cols[7][j]
                 found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
             if found and sum(map(len, found)):
                 rows = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (0, 1)], ["a", "b"])
 
-    return live.select(*ROW_NAMES, "rep", "root").repartition("sig").sortWithinPartitions("sig", "n").mapInArrow(run, "a long, b long").distinct()
+    return live.select(*ROW_NAMES, "rep", "root", *SHARP_NAMES).repartition("sig").sortWithinPartitions("sig", "n").mapInArrow(run, "a long, b long").distinct()
 
 
 def close_pairs(spark: SparkSession, texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -347,13 +369,16 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 3, percent:
     index = index_rows(spark, docs, n, percent, frequent_buckets(spark, docs, n))
     named = classes.select("c1", "c2", "rep")
     live = written(spark, live_rows(index, percent).join(named, ["c1", "c2"]), "live")
-    star = live.where("c1 <> p1 OR c2 <> p2").select("rep", "p1", "p2").distinct().join(named.toDF("p1", "p2", "other"), ["p1", "p2"])
-    first = written(spark, star.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).where("a <> b").distinct(), "star")
     texts = written(spark, docs.join(live.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair_texts")
-    links = verified(spark, texts, close_pairs(spark, texts, first, n, percent), n, percent)
-    roots = written(spark, connected_components(spark, links), "roots")
-    rooted = live.join(roots.toDF("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    left = written(spark, apart(rooted, percent).join(first, ["a", "b"], "left_anti"), "left")
+    live = written(spark, live.join(sharp_vectors(texts, n), "rep"), "sharp")
+    rooted, links, tried = live.withColumn("root", F.col("rep")), None, None
+    for _ in range(STARS):
+        some = written(spark, apart(rooted, percent, one=True), "some")
+        now = verified(spark, texts, close_pairs(spark, texts, some, n, percent), n, percent)
+        links, tried = (now, some) if links is None else (links.unionByName(now), tried.unionByName(some))
+        roots = written(spark, connected_components(spark, links), "roots")
+        rooted = live.join(roots.toDF("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    left = written(spark, apart(rooted, percent, one=False).join(tried, ["a", "b"], "left_anti"), "left")
     more = verified(spark, texts, close_pairs(spark, texts, left, n, percent), n, percent)
     if more.limit(1).count():
         roots = written(spark, connected_components(spark, links.unionByName(more)), "roots")

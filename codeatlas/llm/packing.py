@@ -31,7 +31,7 @@ from codeatlas.llm.common import table, written
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a task remembers; beyond it the memory is emptied.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 PLAN_ROWS = 2_000_000
 
 

@@ -255,7 +255,7 @@ def groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[li
                 yield tile, pairs, False
 
 
-LIVE = ROWS + ", c2 long"
+LIVE = "sig long, c1 long, c2 long, n_shingles long"
 
 
 def live_rows(index: DataFrame, percent: int) -> DataFrame:
@@ -267,8 +267,8 @@ def live_rows(index: DataFrame, percent: int) -> DataFrame:
             for _, i, j in pairs if whole else ():
                 live[i] = live[j] = True
             if live.any():
-                out = [*(c[live] for c in cols), second_name(cols[2], cols[3:7])[live]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 2 else pa.int64()) for k, c in enumerate(out)], [*ROW_NAMES, "c2"])
+                out = [cols[0][live], cols[1][live], second_name(cols[2], cols[3:7])[live], cols[2][live]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["sig", "c1", "c2", "n_shingles"])
 
     return index.repartition("sig").sortWithinPartitions("sig", "n").mapInArrow(run, LIVE)
 
@@ -278,48 +278,57 @@ SHARP_NAMES = [f"w{k}" for k in range(SHARP)]
 
 
 def sharp_vectors(texts: DataFrame, n: int) -> DataFrame:
-    """(rep, w0..): counts of 32 * SHARP bins modulo 4 in Gray code, as `bins` has 64."""
+    """(rep, n, v0.., w0..): size, `bins`, and counts of 32 * SHARP bins modulo 4 in Gray code, as `bins` has 64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            sizes, rows = [], []
             for _, own in shingle_sets(b.column(1), n):
+                sizes.append(len(own))
                 fine = np.bincount((own >> U(30)).astype(np.int64) & 32 * SHARP - 1, minlength=32 * SHARP).astype(np.uint8) & 3
                 fine ^= fine >> 1
-                rows.append(np.packbits(np.stack([fine & 1, fine >> 1]).reshape(-1)).view("<i8"))
-            both = np.array(rows, dtype=np.int64).reshape(-1, SHARP)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(both[:, k])) for k in range(SHARP))], ["rep", *SHARP_NAMES])
+                rows.append(np.concatenate([bins(own), np.packbits(np.stack([fine & 1, fine >> 1]).reshape(-1)).view("<i8")]))
+            both = np.array(rows, dtype=np.int64).reshape(-1, 4 + SHARP)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(both[:, k])) for k in range(4 + SHARP))], ["rep", "n", *ROW_NAMES[3:], *SHARP_NAMES])
+
+    return texts.mapInArrow(run, "rep long, n int, " + ", ".join(f"{w} long" for w in [*ROW_NAMES[3:], *SHARP_NAMES]))
+
 
-    return texts.mapInArrow(run, "rep long, " + ", ".join(f"{w} long" for w in SHARP_NAMES))
+def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sig, rep, root) of the signatures whose members are in different components; others have no pair left."""
+    rooted = members.join(roots.toDF("rep", "root"), "rep", "left").select("sig", "rep", F.coalesce("root", "rep").alias("root")).repartition("sig")
+    mixed = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
+    return rooted.join(mixed, "sig", "left_semi")
 
 
-def apart(live: DataFrame, percent: int, one: bool) -> DataFrame:
+def apart(members: DataFrame, vectors: DataFrame, percent: int, one: bool) -> DataFrame:
     """Distinct pairs (a, b) of documents in different components that pass all vector bounds.
 
-    `live` has rep, root and the sharp vectors behind ROWS. With `one`, each row only gives the
-    pair with the first row before it that passes.
+    `members` has (sig, rep, root); only here, on their way to the comparison, do they meet their
+    vectors. With `one`, each row only gives the pair with the first row before it that passes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, pairs, whole in groups(batches, percent):
             found, free = [], np.ones(len(cols[0]), dtype=bool)
             for earlier, i, j in reversed(pairs) if whole else pairs:  # earliest partners first
-                keep = earlier[8][i] != cols[8][j]
+                keep = earlier[7][i] != cols[7][j]
                 i, j = i[keep], j[keep]
-                far = sum(np.bitwise_count((earlier[9 + k][i] ^ cols[9 + k][j]).view(np.uint64)).astype(np.int64) for k in range(SHARP))
+                far = sum(np.bitwise_count((earlier[8 + k][i] ^ cols[8 + k][j]).view(np.uint64)).astype(np.int64) for k in range(SHARP))
                 keep = far * (100 + percent) <= (100 - percent) * (earlier[2][i] + cols[2][j])
                 i, j = i[keep], j[keep]
                 if one:
                     j, at = np.unique(j, return_index=True)
                     i, j = i[at][free[j]], j[free[j]]
                     free[j] = False
-                a, b = earlier[7][i], cols[7][j]
+                a, b = earlier[1][i], cols[1][j]
                 found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
             if found and sum(map(len, found)):
                 rows = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (0, 1)], ["a", "b"])
 
-    return live.select(*ROW_NAMES, "rep", "root", *SHARP_NAMES).repartition("sig").sortWithinPartitions("sig", "n").mapInArrow(run, "a long, b long").distinct()
+    rows = members.join(vectors, "rep").select("sig", "rep", *ROW_NAMES[2:], "root", *SHARP_NAMES)
+    return rows.repartition("sig").sortWithinPartitions("sig", "n").mapInArrow(run, "a long, b long").distinct()
 
 
 def close_pairs(spark: SparkSession, texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -367,18 +376,18 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 3, percent:
     sets = written(spark, named_sets(docs, n), "sets")
     classes = written(spark, sets.where("n_shingles > 0").groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     index = index_rows(spark, docs, n, percent, frequent_buckets(spark, docs, n))
-    named = classes.select("c1", "c2", "rep")
-    live = written(spark, live_rows(index, percent).join(named, ["c1", "c2"]), "live")
-    texts = written(spark, docs.join(live.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair_texts")
-    live = written(spark, live.join(sharp_vectors(texts, n), "rep"), "sharp")
-    rooted, links, tried = live.withColumn("root", F.col("rep")), None, None
+    named = classes.select("c1", "c2", "n_shingles", "rep")
+    members = written(spark, live_rows(index, percent).join(named, ["c1", "c2", "n_shingles"]).select("sig", "rep"), "members")
+    texts = written(spark, docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair_texts")
+    vectors = written(spark, sharp_vectors(texts, n), "sharp")
+    rooted, links, tried = members.withColumn("root", F.col("rep")), None, None
     for _ in range(STARS):
-        some = written(spark, apart(rooted, percent, one=True), "some")
+        some = written(spark, apart(rooted, vectors, percent, one=True), "some")
         now = verified(spark, texts, close_pairs(spark, texts, some, n, percent), n, percent)
         links, tried = (now, some) if links is None else (links.unionByName(now), tried.unionByName(some))
         roots = written(spark, connected_components(spark, links), "roots")
-        rooted = live.join(roots.toDF("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    left = written(spark, apart(rooted, percent, one=False).join(tried, ["a", "b"], "left_anti"), "left")
+        rooted = written(spark, open_members(rooted.select("sig", "rep"), roots), "open")
+    left = written(spark, apart(rooted, vectors, percent, one=False).join(tried, ["a", "b"], "left_anti"), "left")
     more = verified(spark, texts, close_pairs(spark, texts, left, n, percent), n, percent)
     if more.limit(1).count():
         roots = written(spark, connected_components(spark, links.unionByName(more)), "roots")

@@ -16,10 +16,10 @@ least PERCENT / 100; the result gives each document its component under links.
 4. Classes that meet in a signature are compared, in tiles, by size and by vectors of counts of
    their shingles in bins: the L1 distance of the vectors is at most the size of the symmetric
    difference. Pairs that pass are compared by vectors of WIDE counts, under the same bound.
-5. What is left is verified on the texts: in STARS rounds, for each row of the index, the first
-   partner of another component, which joins groups of near copies like stars; then all pairs that
-   are still in different components. So a group of near copies costs pairs in proportion to its size
-   as far as its links connect it, and no link is lost.
+5. What is left is verified on the texts: in STARS rounds, for each row of the index, the partner of
+   another component whose vectors are nearest; then all pairs that are still in different
+   components. So a group of near copies costs pairs in proportion to its size as far as its links
+   connect it, and no link is lost.
 
 Null and blank texts have an empty set and link with nothing, not even each other. Repeated ids
 are rows of their own. Texts of fewer words than n give their whole sequence as one shingle. Very
@@ -47,7 +47,9 @@ WIDE = 1024
 #: Rows of one signature compared at once.
 TILE = 1024
 #: Rounds that join groups like stars before all pairs of different components are compared.
-STARS = 2
+STARS = 3
+#: Bits of the filter that spares most texts the shuffle, of fixed size; and those of one of its rows.
+FILTER, FILTER_ROW = 1 << 26, 1 << 15
 #: Class names whose signatures a task remembers having given.
 SEEN = 200_000
 U = np.uint64
@@ -273,7 +275,7 @@ def live_rows(index: DataFrame, percent: int) -> DataFrame:
     return index.repartition("sig").sortWithinPartitions("sig", "n").mapInArrow(run, LIVE)
 
 
-SHARP = 8
+SHARP = 16
 SHARP_NAMES = [f"w{k}" for k in range(SHARP)]
 
 
@@ -305,24 +307,27 @@ def apart(members: DataFrame, vectors: DataFrame, percent: int, one: bool) -> Da
     """Distinct pairs (a, b) of documents in different components that pass all vector bounds.
 
     `members` has (sig, rep, root); only here, on their way to the comparison, do they meet their
-    vectors. With `one`, each row only gives the pair with the first row before it that passes.
+    vectors. With `one`, each row only gives the pair with the nearest row before it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, pairs, whole in groups(batches, percent):
-            found, free = [], np.ones(len(cols[0]), dtype=bool)
-            for earlier, i, j in reversed(pairs) if whole else pairs:  # earliest partners first
+            found, near = [], []
+            for earlier, i, j in pairs:
                 keep = earlier[7][i] != cols[7][j]
                 i, j = i[keep], j[keep]
                 far = sum(np.bitwise_count((earlier[8 + k][i] ^ cols[8 + k][j]).view(np.uint64)).astype(np.int64) for k in range(SHARP))
                 keep = far * (100 + percent) <= (100 - percent) * (earlier[2][i] + cols[2][j])
-                i, j = i[keep], j[keep]
+                a, b = earlier[1][i[keep]], cols[1][j[keep]]
                 if one:
-                    j, at = np.unique(j, return_index=True)
-                    i, j = i[at][free[j]], j[free[j]]
-                    free[j] = False
-                a, b = earlier[1][i], cols[1][j]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+                    near.append(np.stack([j[keep], far[keep], a, b]))
+                else:
+                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+            if near:
+                j, far, a, b = np.concatenate(near, axis=1)
+                order = np.lexsort((a, far, j))
+                best = order[np.flatnonzero(np.diff(j[order], prepend=-1))]
+                found.append(np.stack([np.minimum(a[best], b[best]), np.maximum(a[best], b[best])], axis=1))
             if found and sum(map(len, found)):
                 rows = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (0, 1)], ["a", "b"])
@@ -370,6 +375,29 @@ def verified(spark: SparkSession, texts: DataFrame, pairs: DataFrame, n: int, pe
     return written(spark, both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
 
 
+def texts_of(spark: SparkSession, docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, text) of the members' documents: by a bitmap of hashed ids of fixed size first, then by the ids.
+
+    The bitmap only spares texts the way to the join; where it is too full to tell, they all go.
+    """
+    ids = members.select(F.col("rep").alias("doc_id")).distinct()
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    rows = ids.select(slot.alias("s")).groupBy((F.col("s") / FILTER_ROW).cast("int").alias("row")).agg(F.bitmap_construct_agg(F.col("s") % FILTER_ROW).alias("bits")).collect()
+    bits = np.zeros((FILTER // FILTER_ROW, FILTER_ROW // 8), dtype=np.uint8)
+    for r in rows:
+        bits[r.row] = np.frombuffer(r.bits, dtype=np.uint8)
+    shared = spark.sparkContext.broadcast(bits.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(shared.value, dtype=np.uint8)
+        for b in batches:
+            at = b.column(2).to_numpy()
+            yield b.filter(pa.array(known[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)).select([0, 1])
+
+    near = docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id long, text string")
+    return written(spark, near.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair_texts")
+
+
 def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -378,7 +406,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 3, percent:
     index = index_rows(spark, docs, n, percent, frequent_buckets(spark, docs, n))
     named = classes.select("c1", "c2", "n_shingles", "rep")
     members = written(spark, live_rows(index, percent).join(named, ["c1", "c2", "n_shingles"]).select("sig", "rep"), "members")
-    texts = written(spark, docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair_texts")
+    texts = texts_of(spark, docs, members)
     vectors = written(spark, sharp_vectors(texts, n), "sharp")
     rooted, links, tried = members.withColumn("root", F.col("rep")), None, None
     for _ in range(STARS):

@@ -1,16 +1,12 @@
 """Line dedup over content-defined chunks of lines.
 
-1. A rolling hash over WINDOW line hashes is taken at each line (ends stripped, blank lines left
-   out), and the hash of each long line. An item is repeated if two documents at least have it.
-2. A chunk that several documents share consists of repeated windows alone, so chunks are cut from
-   runs of them. Boundaries depend on content only and so survive shifts: where a window is not
-   repeated, where it is repeated less than half as often as a neighbour (a passage ends inside a
-   copied document), and, in long runs, where the rolling hash hits a mask, MIN_LINES to MAX_LINES
-   apart.
-3. Chunks of several lines and MIN_WORDS words, or of one line of LONG_LINE words, whose hash
-   occurs in two documents at least are looked up in the texts and compared byte by byte. The first
-   occurrence (smallest id, then position) stays, every other one is removed with its line ends.
-   A line's first occurrence of all is never removed, so no content is lost.
+1. From every line (ends stripped, blank lines end a chunk) the shortest chunk of two lines and
+   MIN_WORDS words or more is taken, to every line the shortest one that ends there, and each line
+   of LONG_LINE words. Boundaries depend on content only and so survive shifts. These chunks cover
+   every passage that two documents share, wherever it starts and ends in each of them.
+2. Chunks whose hash occurs in two documents at least are looked up in the texts and compared byte
+   by byte. The first occurrence (smallest id, then position) stays, every other one is removed with
+   its line ends. A line's first occurrence of all is never removed, so no content is lost.
 
 Null texts stay null, empty ones empty. Very long texts are one row each, as they came. Repeated
 rows are documents of their own only if their ids differ: of equal ids, each row loses what its id
@@ -21,8 +17,8 @@ name but `text` and `doc_id`, which it needs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -30,88 +26,66 @@ from pyspark.sql import functions as F
 
 from codeatlas.llm.common import table, written
 
-WINDOW, MASK, MIN_LINES, MAX_LINES = 2, 7, 4, 32
 MIN_WORDS, LONG_LINE = 20, 50
 BLANKS = " \t\r\x0b\x0c"
 #: Chunks with more occurrences than all / HOT are looked up by a broadcast of at most HOT rows.
 HOT = 1000
+#: Bytes of chunks in one Arrow batch, about.
+BATCH = 1 << 24
 
-ITEMS = "doc_id long, line int, pair boolean, hash long, words int, next_words int"
+CHUNKS = "doc_id long, first int, last int, hash long"
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def line_items(docs: DataFrame) -> DataFrame:
-    """The windows of WINDOW lines (`pair`) and the long lines of every text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32())
-        for b in batches:
-            out: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                before = None
-                for k, line in enumerate(text.split("\n") if text else ()):
-                    bare = line.strip(BLANKS).encode()
-                    if not bare:
-                        before = None
-                        continue
-                    value, words = xxhash.xxh3_64_intdigest(bare), len(bare.split())
-                    if words >= LONG_LINE:
-                        out.append((doc, k, False, _signed(value), words, 0))
-                    if before is not None:
-                        rolled = (before[0] * 0x9E3779B97F4A7C15 + value) & 0xFFFFFFFFFFFFFFFF
-                        out.append((doc, k - 1, True, _signed(rolled ^ rolled >> 31), before[1], words))
-                    before = value, words
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], [c.split()[0] for c in ITEMS.split(", ")])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, ITEMS)
-
-
-def cut_runs(pairs: dict[int, tuple[int, int]]) -> list[tuple[int, int]]:
-    """(first, last) lines of the chunks of two lines or more; pairs: line -> (hash, documents) of repeated windows."""
-    strong = {
-        k
-        for k, (_, n) in pairs.items()
-        if 2 * n >= max(pairs[k - 1][1] if k - 1 in pairs else 0, pairs[k + 1][1] if k + 1 in pairs else 0)
-    }
-    out, first = [], None
-    for k in sorted(strong):
-        if first is None:
-            first = k
-        length = k - first + 1
-        hit = length >= MAX_LINES or length >= MIN_LINES and (pairs[k][0] >> 32) & MASK == 0
-        if k + 1 not in strong:
-            out.append((first, k + 1))
-            first = None
-        elif hit:
-            # this window is given up: the next chunk starts at the line after
-            out.append((first, k))
-            first = k + 1
+def shortest(words: list[int]) -> set[tuple[int, int]]:
+    """(first, last) of the shortest chunks from and to each line, of two lines and MIN_WORDS words at least."""
+    out: set[tuple[int, int]] = set()
+    total = [0, *accumulate(words)]
+    last = 0
+    for first in range(len(words) - 1):
+        last = max(last, first + 1)
+        while last < len(words) and total[last + 1] - total[first] < MIN_WORDS:
+            last += 1
+        if last == len(words):
+            break
+        out.add((first, last))
+    first = 0
+    for last in range(1, len(words)):
+        while first + 1 < last and total[last + 1] - total[first + 1] >= MIN_WORDS:
+            first += 1
+        if total[last + 1] - total[first] >= MIN_WORDS:
+            out.add((first, last))
     return out
 
 
-CHUNKS = "doc_id long, first int, last int, hash long"
+def chunks_of(text: str) -> Iterator[tuple[int, int, int]]:
+    """(first, last, hash) of the chunks and the long lines of a text."""
+    start, hashes, words = 0, bytearray(), []
+    for k, line in enumerate([*text.split("\n"), ""]):
+        bare = line.strip(BLANKS).encode()
+        if bare:
+            hashes += xxhash.xxh3_64_digest(bare)
+            words.append(len(bare.split()))
+            continue
+        spans = shortest(words) | {(i, i) for i, n in enumerate(words) if n >= LONG_LINE}
+        for i, j in spans:
+            yield start + i, start + j, _signed(xxhash.xxh3_64_intdigest(bytes(hashes[8 * i : 8 * j + 8])))
+        start, hashes, words = k + 1, bytearray(), []
 
 
-def chunk_rows(items: DataFrame) -> DataFrame:
-    """(doc_id, first, last, hash) of candidate chunks, from (doc_id, items: [(line, pair, hash, words, next_words, docs)])."""
+def chunk_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, first, last, hash) of the chunks of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
         for b in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for doc, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                pairs = {x["line"]: (x["hash"], x["docs"]) for x in own if x["pair"]}
-                words = {x["line"]: x["words"] for x in own} | {x["line"] + 1: x["next_words"] for x in own if x["pair"]}
-                for s, e in cut_runs(pairs):
-                    if sum(words[k] for k in range(s, e + 1)) >= MIN_WORDS:
-                        hashes = np.array([pairs[k][0] for k in range(s, e)], dtype="<i8")
-                        out.append((doc, s, e, _signed(xxhash.xxh3_64_intdigest(hashes.tobytes()))))
-                out += [(doc, x["line"], x["line"], x["hash"]) for x in own if not x["pair"]]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "first", "last", "hash"])
+            out = [(doc, *x) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in chunks_of(text)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)], [c.split()[0] for c in CHUNKS.split(", ")])
 
-    return items.mapInArrow(run, CHUNKS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, CHUNKS)
 
 
 TEXTS = "doc_id long, first int, last int, hash long, chunk binary"
@@ -120,16 +94,23 @@ TEXTS = "doc_id long, first int, last int, hash long, chunk binary"
 def chunk_texts(docs_with_spans: DataFrame) -> DataFrame:
     """The bytes of each span of (doc_id, text, spans) rows, line by line without white space at the ends."""
 
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], ["doc_id", "first", "last", "hash", "chunk"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            out, size = [], 0
             for doc, text, spans in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                lines = text.split("\n")
+                lines = [x.strip(BLANKS) for x in text.split("\n")]
                 for s in spans:
-                    part = "\n".join(x.strip(BLANKS) for x in lines[s["first"] : s["last"] + 1])
-                    out.append((doc, s["first"], s["last"], s["hash"], part.encode()))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], ["doc_id", "first", "last", "hash", "chunk"])
+                    part = "\n".join(lines[s["first"] : s["last"] + 1]).encode()
+                    out.append((doc, s["first"], s["last"], s["hash"], part))
+                    size += len(part)
+                    if size >= BATCH:
+                        yield batch(out)
+                        out, size = [], 0
+            yield batch(out)
 
     return docs_with_spans.mapInArrow(run, TEXTS)
 
@@ -144,18 +125,10 @@ def looked_up(rows: DataFrame, classes: DataFrame, on: list[str], total: int) ->
 
 def removals(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, first, last): line spans to remove, from (doc_id, text) rows."""
-    items = written(spark, line_items(docs), "items")
-    total = items.count()
-    repeated = written(
-        spark,
-        items.groupBy("pair", "hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("pair", "hash", "n", F.col("n").alias("docs")),
-        "repeated",
-    )
-    known = looked_up(items, repeated, ["pair", "hash"], total).dropDuplicates(["doc_id", "line", "pair"])
-    runs = known.groupBy("doc_id").agg(F.collect_list(F.struct("line", "pair", "hash", "words", "next_words", "docs")).alias("items"))
-    chunks = written(spark, chunk_rows(runs), "chunks")
+    chunks = written(spark, chunk_rows(docs), "chunks")
+    total = chunks.count()
     occurring = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("hash", "n")
-    shared = looked_up(chunks, occurring, ["hash"], total)
+    shared = looked_up(chunks, written(spark, occurring, "occurring"), ["hash"], total).distinct()
     spans = shared.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "hash")).alias("spans"))
     with_text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
     texts = chunk_texts(with_text.join(spans, "doc_id").select("doc_id", "text", "spans"))

@@ -27,6 +27,41 @@ def test_repeated_passages_go_wherever_they_stand(spark):
     assert got[5].text == passage(14) and got[6].text == "" and got[7].text is None and got[9].text == "a\nb"
 
 
+def removed_by_brute_force(texts):
+    """Lines of texts (by id, without blank lines) in an occurrence, but the first, of a passage that two texts share."""
+    seen = {}
+    for doc in sorted(texts):
+        for i in range(len(texts[doc])):
+            for j in range(i, len(texts[doc])):
+                part = tuple(texts[doc][i : j + 1])
+                if sum(len(x.split()) for x in part) >= (line_dedup.MIN_WORDS if j > i else line_dedup.LONG_LINE):
+                    seen.setdefault(part, []).append((doc, i, j))
+    return {(d, k) for at in seen.values() if at[0][0] != at[-1][0] for d, i, j in at[1:] for k in range(i, j + 1)}
+
+
+def test_passage_inside_copied_documents_goes_from_others(spark):
+    p, copied = passage(1), passage(2) + "\n" + passage(1) + "\n" + passage(3)
+    rows = [(1, copied), (2, copied), (3, passage(4) + "\n" + p + "\n" + passage(5))]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark, spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: copied, 2: "", 3: passage(4) + "\n" + passage(5)}
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(3)
+    lines = [" ".join(rng.choice("abcdefgh") + str(k) for _ in range(rng.choice([1, 3, 8, 12, 19, 30, 55]))) for k in range(12)]
+    texts = {}
+    for doc in range(60):
+        texts[doc] = [rng.choice(lines) for _ in range(rng.randrange(1, 14))]
+        if doc and rng.random() < 0.6:
+            other = texts[rng.randrange(doc)]
+            a = rng.randrange(len(other))
+            texts[doc] += other[a : a + rng.randrange(2, 9)]
+    gone = removed_by_brute_force(texts)
+    rows = [(doc, "\n".join(x)) for doc, x in texts.items()]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark, spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {doc: "\n".join(x for k, x in enumerate(texts[doc]) if (doc, k) not in gone) for doc in texts}
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(spark, spark.createDataFrame([], DOCS)).count() == 0
 

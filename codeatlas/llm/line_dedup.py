@@ -1,6 +1,6 @@
 """Line dedup over content-defined chunks of lines.
 
-1. From every line (ends stripped, blank lines end a chunk) the shortest chunk of two lines and
+1. From every line (ends stripped, blank lines left out) the shortest chunk of two lines and
    MIN_WORDS words or more is taken, to every line the shortest one that ends there, and each line
    of LONG_LINE words. Boundaries depend on content only and so survive shifts. These chunks cover
    every passage that two documents share, wherever it starts and ends in each of them.
@@ -62,18 +62,16 @@ def shortest(words: list[int]) -> set[tuple[int, int]]:
 
 
 def chunks_of(text: str) -> Iterator[tuple[int, int, int]]:
-    """(first, last, hash) of the chunks and the long lines of a text."""
-    start, hashes, words = 0, bytearray(), []
-    for k, line in enumerate([*text.split("\n"), ""]):
+    """(first, last, hash) of the chunks and the long lines of a text; blank lines count only in the line numbers."""
+    at, hashes, words = [], bytearray(), []
+    for k, line in enumerate(text.split("\n")):
         bare = line.strip(BLANKS).encode()
         if bare:
+            at.append(k)
             hashes += xxhash.xxh3_64_digest(bare)
             words.append(len(bare.split()))
-            continue
-        spans = shortest(words) | {(i, i) for i, n in enumerate(words) if n >= LONG_LINE}
-        for i, j in spans:
-            yield start + i, start + j, _signed(xxhash.xxh3_64_intdigest(bytes(hashes[8 * i : 8 * j + 8])))
-        start, hashes, words = k + 1, bytearray(), []
+    for i, j in shortest(words) | {(i, i) for i, n in enumerate(words) if n >= LONG_LINE}:
+        yield at[i], at[j], _signed(xxhash.xxh3_64_intdigest(bytes(hashes[8 * i : 8 * j + 8])))
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
@@ -92,7 +90,7 @@ TEXTS = "doc_id long, first int, last int, hash long, chunk binary"
 
 
 def chunk_texts(docs_with_spans: DataFrame) -> DataFrame:
-    """The bytes of each span of (doc_id, text, spans) rows, line by line without white space at the ends."""
+    """The bytes of each span of (doc_id, text, spans) rows, line by line without white space at the ends and blank lines."""
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
@@ -104,7 +102,7 @@ def chunk_texts(docs_with_spans: DataFrame) -> DataFrame:
             for doc, text, spans in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 lines = [x.strip(BLANKS) for x in text.split("\n")]
                 for s in spans:
-                    part = "\n".join(lines[s["first"] : s["last"] + 1]).encode()
+                    part = "\n".join(filter(None, lines[s["first"] : s["last"] + 1])).encode()
                     out.append((doc, s["first"], s["last"], s["hash"], part))
                     size += len(part)
                     if size >= BATCH:

@@ -62,6 +62,13 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == {doc: "\n".join(x for k, x in enumerate(texts[doc]) if (doc, k) not in gone) for doc in texts}
 
 
+def test_passages_of_paragraphs_between_blank_lines(spark):
+    parts = [passage(k, 1, 40) for k in range(3)]
+    rows = [(1, passage(10) + "\n\n" + "\n\n".join(parts)), (2, passage(11) + "\n\n" + "\n \t\n\n".join(parts) + "\n\n" + passage(12)), (3, "\n".join(parts))]
+    got = {r.doc_id: (r.text, r.lines_removed) for r in line_dedup.dedup_lines(spark, spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: (passage(11) + "\n\n\n" + passage(12), 7), 3: ("", 3)}
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(spark, spark.createDataFrame([], DOCS)).count() == 0
 

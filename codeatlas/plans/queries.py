@@ -92,6 +92,7 @@ def _ranges(ix: CodeIndex) -> DataFrame:
 
 
 register("J12_overlapping", lambda ix: J.overlapping(ix, _ranges(ix)).select("id", "name", "path"), "SELECT min(n.id) AS id, n.name, n.path FROM nodes n JOIN files f ON f.id = n.file_id WHERE f.id % 10 = 1 AND line_start <= 95 AND line_end >= 30 GROUP BY n.name, n.path, line_start")
+register("J12_overlapping_all_files", lambda ix: J.overlapping(ix, ix.files.select("path", F.lit(30).cast("long").alias("start"), F.lit(95).cast("long").alias("end"))).select("id", "name", "path"), "SELECT min(n.id) AS id, n.name, n.path FROM nodes n JOIN files f ON f.id = n.file_id WHERE line_start <= 95 AND line_end >= 30 GROUP BY n.name, n.path, line_start")
 register("J13_dependencies", lambda ix: J.resolved_dependencies(ix.dependencies.select("name", "version"), ix.dependencies.where("is_direct = 1").select("name", F.lit("full,std").alias("features"))), "SELECT name, version, is_direct = 1 AS is_direct, CASE WHEN is_direct = 1 THEN 'full,std' END AS features FROM dependencies")
 register("J16_implementations_of_trait", lambda ix: J.implementations(ix, trait_name="trait_7"), "SELECT type_name, trait_name, path, line_start, line_end FROM trait_impls t JOIN files f ON f.id = t.file_id WHERE trait_name = 'trait_7' OR ends_with(trait_name, '::trait_7')")
 register("C5_implementations_of_type", lambda ix: J.implementations(ix, type_name="Type_9"), "SELECT type_name, trait_name, path, line_start, line_end FROM trait_impls t JOIN files f ON f.id = t.file_id WHERE type_name = 'Type_9'")

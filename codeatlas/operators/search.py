@@ -79,13 +79,14 @@ def ranked(ix: CodeIndex, rows: DataFrame, limit: int = 50) -> DataFrame:
     return early.join(degree, ["name", "path"], "left").withColumn("refs", F.coalesce("refs", F.lit(0))).orderBy(F.desc("refs"), *ORDER).limit(limit)
 
 
-def query(ix: CodeIndex, q: str, scope: str = "symbols", kind: str | None = None, attribute: str | None = None, signature: str | None = None, path: str | None = None, limit: int = 50) -> DataFrame:
-    """Symbol, file, doc or text search; the seed is the most selective filter given."""
+def query(ix: CodeIndex, q: str, scope: str = "symbols", kind: str | None = None, attribute: str | None = None, signature: str | None = None, path: str | None = None, limit: int | None = 50) -> DataFrame:
+    """Symbol, file, doc or text search; the seed is the most selective filter given. The files scope takes limit None for all."""
     if scope == "docs":
         return search_docs(ix, q)
     if scope == "files":
         rows = ix.files.where(has(F.col("path"), q if q != "*" else ""))
-        return (rows if path is None else rows.where(under(F.col("path"), path))).select("path").orderBy("path").limit(limit)
+        rows = (rows if path is None else rows.where(under(F.col("path"), path))).select("path").orderBy("path")
+        return rows if limit is None else rows.limit(limit)
     if scope == "doc_comments":
         rows = by_text(ix, "doc_comment", q, None)
     elif scope in ("bodies", "strings"):

@@ -44,6 +44,7 @@ register("P11_whole_word", lambda ix: ix.nodes.where(C.whole_word(F.col("signatu
 register("P12_signature_match", lambda ix: J.by_signature(ix, "Result<Type_2>").select("id", "signature"), r"SELECT id, signature FROM nodes WHERE contains(signature, 'Result<Type_2>') OR regexp_matches(signature, 'Result<Type_2[,>]') OR list_has_any(regexp_split_to_array(signature, '[^A-Za-z0-9_]+'), ['x']) OR len(list_filter(regexp_split_to_array(signature, '[^A-Za-z0-9_]+'), lambda w: ends_with(w, 'Result') OR ends_with(w, 'Type_2'))) > 0")
 register("P15_truncated_signatures", lambda ix: A.truncated_signatures(ix), "SELECT count(*) AS n FROM symbols WHERE ends_with(signature, '(') AND kind = 'function'")
 register("P17_file_scope", lambda ix: S.query(ix, "F12", scope="files", path="crates/", limit=1000), "SELECT path FROM files WHERE contains(lower(path), 'f12') AND starts_with(path, 'crates/') ORDER BY path LIMIT 1000")
+register("P17_file_scope_unlimited", lambda ix: S.query(ix, "F12", scope="files", path="crates/", limit=None), "SELECT path FROM files WHERE contains(lower(path), 'f12') AND starts_with(path, 'crates/') ORDER BY path")
 
 
 def _doc_bodies(ix: CodeIndex) -> DataFrame:

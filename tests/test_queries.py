@@ -6,6 +6,7 @@ import duckdb
 
 from codeatlas.adapter import BASE
 from codeatlas.index import derived_index
+from codeatlas.operators import search
 from codeatlas.plans.queries import ORACLE_SQL, QUERIES
 
 TABLES = "/root/testdata/sf0.001"
@@ -23,3 +24,11 @@ def test_overlaps_of_all_files(spark):
     assert Counter(map(tuple, rows)) == by_sql("J12_overlapping_all_files")
     nodes = derived_index(spark, TABLES).nodes.where("line_start <= 95 AND line_end >= 30")
     assert {r.path for r in rows} == {r.path for r in nodes.select("path").distinct().collect()}
+
+
+def test_file_scope_without_a_limit(spark):
+    ix = derived_index(spark, TABLES)
+    assert search.query(ix, "*", scope="files", limit=None).count() == ix.files.count() > 50
+    larger = "/root/testdata/sf0.1"
+    rows = QUERIES["P17_file_scope_unlimited"](spark, larger).collect()
+    assert Counter(map(tuple, rows)) == by_sql("P17_file_scope_unlimited", larger) and len(rows) == 1111

@@ -7,7 +7,7 @@ it and the URL's path starts with the rule's path; of the rules that fit, the lo
 Each URL is expanded into host suffixes (at label borders) times path prefixes (of the lengths that
 occur among the rules), each expression is hashed with SHA-256, URL and rule meet by equality of the
 first PREFIX hex digits, and the full digests and the expression itself are compared afterwards.
-The driver reads only the distinct path lengths of the rules, at most MAX_PATH numbers.
+The driver reads only the distinct path lengths of the rules.
 
 A null URL or one without `://` has an empty host and path and fits no rule; it gets the default
 verdict, as does every URL that no rule fits. Rules with a null or empty host are ignored, a null
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from codeatlas.llm.common import ascii_lower, maybe_broadcast, table
 
 PREFIX = 8
-MAX_PATH = 8192
 
 
 def split_url(url: F.Column) -> tuple[F.Column, F.Column]:
@@ -49,7 +48,7 @@ def rule_table(rules: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """One row per page: id, host, path, rule, verdict."""
     known = rule_table(rules)
-    lengths = sorted(r.n for r in known.select(F.length("rule_path").alias("n")).where(F.col("n") <= MAX_PATH).distinct().collect())
+    lengths = sorted(r.n for r in known.select(F.length("rule_path").alias("n")).distinct().collect())
     host, path = split_url(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     suffixes = F.expr(r"transform(sequence(1, size(split(host, '\\.'))), k -> substring_index(host, '.', -k))")
@@ -65,8 +64,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     fits = expanded.join(maybe_broadcast(known), "short").where((F.col("digest") == F.col("rule_digest")) & (F.col("suffix") == F.col("rule_host")) & (F.col("prefix") == F.col("rule_path")))
     order = F.struct(F.length("rule"), F.length("rule_host"), (F.col("rule_verdict") == "allow").alias("allow"), F.col("rule"), F.col("rule_verdict").alias("v"))
     best = fits.groupBy("id", "host", "path").agg(F.max(order).alias("best"))
-    hit = best.select("id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.v").alias("v"))
-    return urls.join(hit, ["id", "host", "path"], "left").select(
+    hit = best.select(F.col("id").alias("hit_id"), F.col("host").alias("hit_host"), F.col("path").alias("hit_path"), F.col("best.rule").alias("rule"), F.col("best.v").alias("v"))
+    # null ids meet as well
+    same = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("host") == F.col("hit_host")) & (F.col("path") == F.col("hit_path"))
+    return urls.join(hit, same, "left").select(
         F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("v", F.lit(default)).alias("verdict")
     )
 

@@ -195,6 +195,14 @@ def test_importance_prefers_the_target(spark):
     assert len(rows) == 201 and len(kept) == round(201 * 0.5) and sum(d % 2 for d in kept if d != 500) >= 95
 
 
+def test_long_rule_paths_and_null_ids(spark):
+    long_path = "/" + "a" * 9000
+    pages = spark.createDataFrame([(1, "http://x.org" + long_path + "b"), (None, "http://x.net/p"), (None, "http://y.net/p")], "page_id long, url string")
+    rules = spark.createDataFrame([("x.org", long_path, "block"), ("x.net", "/p", "block")], "host string, path string, verdict string")
+    got = {(r.page_id, r.host): r.verdict for r in filter_urls(pages, rules).collect()}
+    assert got == {(1, "x.org"): "block", (None, "x.net"): "block", (None, "y.net"): "allow"}
+
+
 def test_kth_key_is_exact(spark):
     keys = [(i, float(i % 7)) for i in range(30_000)]
     df = spark.createDataFrame(keys, "doc_id long, key double")

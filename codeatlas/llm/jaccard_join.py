@@ -4,7 +4,8 @@ A document is the set of its n-word shingles. Two documents link when their Jacc
 least PERCENT / 100; the result gives each document its component under links.
 
 1. Documents with the same set form a class; everything below works on classes, so groups of
-   copies, however large, cost no pairs. Classes are named by a 128-bit hash of the set.
+   copies, however large, cost no pairs. A class is named by a 128-bit hash and the size of the set
+   and numbered when the classes are written.
 2. A sketch of SKETCH counters over all shingles tells frequent shingles from rare ones (more than
    FREQUENT standard deviations above the mean counter). It fixes the global order: rare shingles
    first, each kind by hash. The order and the kinds affect cost only, never the result.
@@ -13,22 +14,31 @@ least PERCENT / 100; the result gives each document its component under links.
    shingles it indexes number one more than a partner may miss, where g frequent shingles of one
    group count g - 1, so linked classes share a signature. Sets of at most SMALL shingles use one
    group; those around SMALL index both ways.
-4. Classes that meet in a signature are compared, in tiles, by size and by vectors of counts of
-   their shingles in bins: the L1 distance of the vectors is at most the size of the symmetric
-   difference. Pairs that pass are compared by vectors of WIDE counts, under the same bound.
-5. What is left is verified on the texts: in STARS rounds, for each row of the index, the partner of
-   another component whose vectors are nearest; then all pairs that are still in different
-   components. So a group of near copies costs pairs in proportion to its size as far as its links
-   connect it, and no link is lost.
+4. Index rows are dealt by ranges of (signature, size, class), so that a hot signature spreads over
+   tasks. Groups of up to WHOLE rows are compared on the spot by size and by vectors of counts of
+   their shingles in bins (the L1 distance of the vectors is at most the size of the symmetric
+   difference); rows without a possible partner go. What is left of a group is named by its members:
+   signatures of the same members give the same pairs, so one of them stays. Larger groups and those
+   cut by a range border keep all their rows and the signature as their name.
+5. Groups are dealt by ranges of (group, component, size, class) and cut into tiles of TILE rows. In
+   STARS rounds each row proposes its nearest partners of another component in its own tile, and the
+   first row of a tile those of the group's other tiles; each class has its best untried proposal
+   verified, and links are joined to components. Then all pairs of classes that are still in
+   different components are compared, tile against tile, so no link is lost and neither one task's
+   memory nor its time follows a group.
+6. Proposals are first compared by sharper vectors (and for large sets by vectors of WIDE counts)
+   under the same bound, then verified on the texts.
 
 Null and blank texts have an empty set and link with nothing, not even each other. Repeated ids
-are rows of their own. Texts of fewer words than n give their whole sequence as one shingle. Very
+are rows of their own, also with different texts. A null id is no smallest id: a component of null
+ids only has a null id. Texts of fewer words than n give their whole sequence as one shingle. Very
 long texts are hashed in slices. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,21 +46,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import table, written
+from codeatlas.llm.common import discard, small_batches, table, written
 from codeatlas.llm.components import connected_components
 from codeatlas.llm.textkernel import mix, shingle_sets
 
 SKETCH, BLOCK = 1 << 20, 1 << 14
 FREQUENT = 8.0
 CLASSES, SMALL = 32, 64
-WIDE = 1024
-#: Rows of one signature compared at once.
-TILE = 1024
-#: Rounds that join groups like stars before all pairs of different components are compared.
-STARS = 3
+#: Bins of the sharper vectors, and of the vectors of sets of LARGE shingles or more.
+SHARP, WIDE, LARGE = 512, 1024, 400
+#: Rows of one signature compared as soon as they meet; rows of a tile; proposals of a row.
+WHOLE, TILE, TOP = 64, 1024, 3
+#: Rounds of proposals before all pairs of different components are compared.
+STARS = 2
 #: Bits of the filter that spares most texts the shuffle, of fixed size; and those of one of its rows.
 FILTER, FILTER_ROW = 1 << 26, 1 << 15
-#: Class names whose signatures a task remembers having given.
+#: Names that a task remembers having given.
 SEEN = 200_000
 U = np.uint64
 
@@ -81,52 +92,54 @@ def set_name(own: np.ndarray, vector: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)[0]), int(second_name(np.array([len(own)]), [vector[k : k + 1] for k in range(4)])[0])
 
 
-SETS = "doc_id long, n_shingles long, c1 long, c2 long"
+SCAN = "doc_id long, n_shingles long, c1 long, c2 long, block int, counts binary"
+SCAN_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
 
-def named_sets(docs: DataFrame, n: int) -> DataFrame:
+def _batch(schema: str, kinds: list[pa.DataType], columns: list) -> pa.RecordBatch:
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in schema.split(", ")])
+
+
+def scan(docs: DataFrame, n: int) -> DataFrame:
+    """Size and name of every row's set, and, with a block, each task's counts of shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SKETCH, dtype="<u4")
         for b in batches:
             sizes, c1, c2 = [], [], []
             for _, own in shingle_sets(b.column(1), n):
+                np.add.at(counts, (own & U(SKETCH - 1)).astype(np.int64), 1)
                 x, y = set_name(own, bins(own))
                 sizes.append(len(own))
                 c1.append(x)
                 c2.append(y)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64())], ["doc_id", "n_shingles", "c1", "c2"])
+            yield _batch(SCAN, SCAN_TYPES, [b.column(0), sizes, c1, c2, pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())])
+        if counts.any():
+            blocks = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(-1, BLOCK)]
+            yield _batch(SCAN, SCAN_TYPES, [*(pa.nulls(len(blocks), pa.int64()) for _ in range(4)), range(len(blocks)), blocks])
 
-    return docs.mapInArrow(run, SETS)
+    return docs.mapInArrow(run, SCAN)
 
 
-def frequent_buckets(spark: SparkSession, docs: DataFrame, n: int) -> np.ndarray:
+def frequent_buckets(scanned: DataFrame) -> np.ndarray:
     """Which sketch counters stand out, over the shingles of all rows; SKETCH booleans."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(SKETCH, dtype=np.int64), False
-        for b in batches:
-            for _, own in shingle_sets(b.column(0), n):
-                seen = True
-                np.add.at(counts, (own & U(SKETCH - 1)).astype(np.int64), 1)
-        if seen:
-            blocks = counts.astype("<u4").reshape(-1, BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], ["block", "counts"])
-
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, None
         for b in batches:
             for block, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if block != now and now is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
-                part = np.frombuffer(counts, dtype="<u4").astype("<i8")
+                part = np.frombuffer(zlib.decompress(counts), dtype="<u4").astype("<i8")
                 total = total + part if block == now else part
                 now = block
         if now is not None:
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
 
-    partial = docs.select("text").mapInArrow(count, "block int, counts binary")
-    rows = partial.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, counts binary").collect()
+    partial = scanned.where("block IS NOT NULL").select("block", "counts")
     counts = np.zeros(SKETCH)
-    for r in rows:
+    for r in partial.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, counts binary").collect():
         counts[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, dtype="<i8")
     mean = counts.mean()
     return counts > mean + FREQUENT * math.sqrt(mean) + 4
@@ -162,9 +175,8 @@ def signatures(own: np.ndarray, frequent: np.ndarray, percent: int, groups: int)
 
 
 ROWS = "sig long, c1 long, n int, v0 long, v1 long, v2 long, v3 long"
-
-
 ROW_NAMES = [c.split()[0] for c in ROWS.split(", ")]
+VECTOR = ROW_NAMES[3:]
 
 
 def index_rows(spark: SparkSession, docs: DataFrame, n: int, percent: int, flags: np.ndarray) -> DataFrame:
@@ -174,8 +186,13 @@ def index_rows(spark: SparkSession, docs: DataFrame, n: int, percent: int, flags
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flagged = np.unpackbits(shared.value).astype(bool)
         done: set[tuple[int, int]] = set()
+
+        def packed(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), pa.int32() if k == 2 else pa.int64()) for k, p in enumerate(parts)], ROW_NAMES)
+
         for b in batches:
             parts: list[list[np.ndarray]] = [[] for _ in range(7)]
+            size = 0
             for _, own in shingle_sets(b.column(0), n):
                 if len(own) < least:
                     continue
@@ -191,176 +208,333 @@ def index_rows(spark: SparkSession, docs: DataFrame, n: int, percent: int, flags
                 sig = np.unique(np.concatenate([signatures(own, hot, percent, g) for g in ways]))
                 for part, value in zip(parts, (None, name[0], len(own), *vector.tolist()), strict=True):
                     part.append(sig.view(np.int64) if value is None else np.full(len(sig), value, dtype=np.int64))
-            if parts[0]:
-                cols = [np.concatenate(p) for p in parts]
-                for a in range(0, len(cols[0]), 1 << 17):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 17)], pa.int32() if k == 2 else pa.int64()) for k, c in enumerate(cols)], ROW_NAMES)
+                size += len(sig)
+                if size >= 1 << 17:
+                    yield packed(parts)
+                    parts, size = [[] for _ in range(7)], 0
+            if size:
+                yield packed(parts)
 
     return docs.select("text").mapInArrow(run, ROWS)
 
 
-def passing(one: list[np.ndarray], two: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of rows (i of one, j of two) of different classes pass the size and vector bounds.
+def passing(one: list[np.ndarray], two: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of rows (i of one, j of two) of (size, v0 .. v3) pass the bounds, and their distance by the finer vector.
 
     inter / union >= p means |a ^ b| <= (1 - p) / (1 + p) * (|a| + |b|).
     """
-    na, nb = one[2][i], two[2][j]
-    ok = np.flatnonzero((np.minimum(na, nb) * 100 >= percent * np.maximum(na, nb)) & ((one[1][i] != two[1][j]) | (na != nb)))
+    na, nb = one[0][i], two[0][j]
+    ok = np.flatnonzero(np.minimum(na, nb) * 100 >= percent * np.maximum(na, nb))
     i, j, most = i[ok], j[ok], (100 - percent) * (na[ok] + nb[ok])
-    fine = sum(np.bitwise_count((one[k][i] ^ two[k][j]).view(np.uint64)).astype(np.int64) for k in (5, 6))
+    fine = sum(np.bitwise_count((one[k][i] ^ two[k][j]).view(np.uint64)).astype(np.int64) for k in (3, 4))
     keep = fine * (100 + percent) <= most
-    ok, i, j, most = ok[keep], i[keep], j[keep], most[keep]
-    va, vb = (np.stack([c[3][k], c[4][k]], axis=1).view(np.uint8).astype(np.int16) for c, k in ((one, i), (two, j)))
-    return ok[np.abs(va - vb).sum(axis=1) * (100 + percent) <= most]
+    ok, i, j, most, fine = ok[keep], i[keep], j[keep], most[keep], fine[keep]
+    va, vb = (np.stack([c[1][k], c[2][k]], axis=1).view(np.uint8).astype(np.int16) for c, k in ((one, i), (two, j)))
+    keep = np.abs(va - vb).sum(axis=1) * (100 + percent) <= most
+    return ok[keep], fine[keep]
+
+
+def _columns(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(b.num_columns)]
 
 
-def groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[list[np.ndarray], list[tuple[list[np.ndarray], np.ndarray, np.ndarray]], bool]]:
-    """Blocks of rows sorted by signature and size: (rows, [(earlier rows, i, j)], whether groups are whole).
+def grouped(batches: Iterator[pa.RecordBatch], whole: int, key: int = 0) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Blocks (columns, starts of groups, whether each is whole) of rows sorted by column `key`.
 
-    i and j are the passing pairs of an earlier row and a row of the block, of one signature.
-    Whole small groups of a batch come together; others in tiles, against the tiles kept from before,
-    of which those that are too small for any row to come are forgotten.
+    A group is whole if it has at most `whole` rows and is neither the task's first nor its last one,
+    of which other tasks may have a part. Other groups come in parts of at most a batch.
     """
-    tiles: list[list[np.ndarray]] = []
-    last = None
+    carry: list[np.ndarray] | None = None
+    first = broken = None
     for b in batches:
-        cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(b.num_columns)]
-        sig = cols[0]
-        if not len(sig):
+        cols = _columns(b)
+        if carry is not None:
+            cols = [np.concatenate([x, y]) for x, y in zip(carry, cols, strict=True)]
+        k = cols[key]
+        if not len(k):
             continue
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(sig)) + 1, [len(sig)]])
-        sizes = np.diff(bounds)
-        inner = np.ones(len(sizes), dtype=bool)
-        inner[[0, -1]] = False
-        few = inner & (sizes > 1) & (sizes <= 64)
-        end = np.repeat(np.where(few, bounds[1:], -1), sizes)
-        pairs = []
-        for d in range(1, int(sizes[few].max()) if few.any() else 0):
-            i = np.flatnonzero(np.arange(len(sig)) + d < end)
-            ok = passing(cols, cols, i, i + d, percent)
-            if len(ok):
-                pairs.append((cols, i[ok], i[ok] + d))
-        yield cols, pairs, True
-        for k in np.flatnonzero((sizes > 64) | ~inner):
-            if sig[bounds[k]] != last:
-                tiles, last = [], sig[bounds[k]]
-            for a in range(bounds[k], bounds[k + 1], TILE):
-                tile = [c[a : min(a + TILE, bounds[k + 1])] for c in cols]
-                tiles = [t for t in tiles if int(t[2][-1]) * 100 >= percent * int(tile[2][0])]
-                pairs = []
-                for t in [*tiles, tile]:
-                    i, j = np.triu_indices(len(t[0]), 1) if t is tile else (x.reshape(-1) for x in np.indices((len(t[0]), len(tile[0]))))
-                    ok = passing(t, tile, i, j, percent)
-                    if len(ok):
-                        pairs.append((t, i[ok], j[ok]))
-                tiles.append(tile)
-                yield tile, pairs, False
-
-
-LIVE = "sig long, c1 long, c2 long, n_shingles long"
-
-
-def live_rows(index: DataFrame, percent: int) -> DataFrame:
-    """Index rows with a passing partner of their signature; those of groups not seen whole stay in any case."""
+        starts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
+        if first is None:
+            first = broken = k[0]
+        last = int(starts[-1])
+        if len(k) - last > whole:
+            broken = k[last]
+        stop = len(k) if k[last] == broken else last
+        carry = None if stop == len(k) else [c[last:] for c in cols]
+        if stop:
+            own = starts[starts < stop]
+            yield [c[:stop] for c in cols], own, (np.diff(own, append=stop) <= whole) & (k[own] != first) & (k[own] != broken)
+    if carry is not None:
+        yield carry, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=bool)
+
+
+def close_ones(cols: list[np.ndarray], starts: np.ndarray, use: np.ndarray, percent: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of the passing pairs of rows of one group, for groups in `use` of at most `most` rows; cols: size, v0 .. v3."""
+    sizes = np.diff(starts, append=len(cols[0]))
+    few = use & (sizes > 1) & (sizes <= most)
+    end = np.repeat(np.where(few, starts + sizes, -1), sizes)
+    at = np.arange(len(end))
+    for d in range(1, int(sizes[few].max()) if few.any() else 0):
+        i = np.flatnonzero(at + d < end)
+        ok, far = passing(cols, cols, i, i + d, percent)
+        if len(ok):
+            yield i[ok], i[ok] + d, far
+
+
+LIVE = "g long, c1 long, c2 long, n long, v0 long, v1 long, v2 long, v3 long"
+LIVE_NAMES = [c.split()[0] for c in LIVE.split(", ")]
+
+
+def live_rows(index: DataFrame, percent: int, most: int = WHOLE) -> DataFrame:
+    """Index rows that may have a partner, grouped by their members or, where a group isn't seen whole, by signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols, pairs, whole in groups(batches, percent):
-            live = np.full(len(cols[0]), not whole)
-            for _, i, j in pairs if whole else ():
+        done: set[int] = set()
+        for cols, starts, whole in grouped(batches, most):
+            sig, c1, n = cols[:3]
+            sizes = np.diff(starts, append=len(sig))
+            live = np.repeat(~whole, sizes)
+            for i, j, _ in close_ones(cols[2:7], starts, whole, percent, most):
                 live[i] = live[j] = True
-            if live.any():
-                out = [cols[0][live], cols[1][live], second_name(cols[2], cols[3:7])[live], cols[2][live]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["sig", "c1", "c2", "n_shingles"])
+            c2 = second_name(n, cols[3:7])
+            named = mix(c1.view(np.uint64) ^ mix(c2.view(np.uint64) + n.astype(np.uint64)))
+            sets = mix(np.add.reduceat(np.where(live, named, U(0)), starts)).view(np.int64)
+            fresh = ~whole
+            for k in np.flatnonzero(whole & np.logical_or.reduceat(live, starts)).tolist():
+                g = int(sets[k])
+                if g not in done:
+                    if len(done) >= SEEN:
+                        done.clear()
+                    done.add(g)
+                    fresh[k] = True
+            keep = live & np.repeat(fresh, sizes)
+            if keep.any():
+                g = np.where(np.repeat(whole, sizes), np.repeat(sets, sizes), sig)
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (g, c1, c2, n, *cols[3:7])], LIVE_NAMES)
+
+    return index.repartitionByRange("sig", "n", "c1").sortWithinPartitions("sig", "n", "c1").mapInArrow(run, LIVE)
+
+
+FOUND = "kind string, a long, b long, far long, g long, tile long, n long, v0 long, v1 long, v2 long, v3 long, root long"
+FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
+MEMBER = ("g", "root", "n", "cid", *VECTOR)
+
+
+def nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray, top: int) -> np.ndarray:
+    """Of pairs (i, j), those among the `top` nearest of j."""
+    order = np.lexsort((i, far, j))
+    first = np.concatenate([[0], np.flatnonzero(np.diff(j[order])) + 1])
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
+    return order[rank < top]
+
+
+def proposals(rows: DataFrame, percent: int, top: int | None, most: int = WHOLE, size: int = TILE) -> DataFrame:
+    """Pairs of classes of one tile and different components, and the rows of tiles of groups that have others.
+
+    `rows` has (g, root, n, cid, v0 ..). With `top`, each row only proposes its nearest earlier rows.
+    """
 
-    return index.repartition("sig").sortWithinPartitions("sig", "n").mapInArrow(run, LIVE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        tile = TaskContext.get().partitionId() << 32
+
+        def pairs(cols: list[np.ndarray], i: np.ndarray, j: np.ndarray, far: np.ndarray) -> pa.RecordBatch | None:
+            ok = cols[1][i] != cols[1][j]
+            i, j, far = i[ok], j[ok], far[ok]
+            if top is not None and len(i):
+                best = nearest(i, j, far, top)
+                i, j, far = i[best], j[best], far[best]
+            if not len(i):
+                return None
+            none = pa.nulls(len(i), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(["pair"] * len(i)), pa.array(cols[3][i]), pa.array(cols[3][j]), pa.array(far), *([none] * 8)], FOUND_NAMES)
+
+        def cut(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """One tile of a group that has others or may have them."""
+            nonlocal tile
+            tile += 1
+            i, j = np.triu_indices(len(part[0]), 1)
+            keep = part[1][i] != part[1][j]
+            i, j = i[keep], j[keep]
+            ok, far = passing([part[2], *part[4:]], [part[2], *part[4:]], i, j, percent)
+            out = pairs(part, i[ok], j[ok], far)
+            if out is not None:
+                yield out
+            none = pa.nulls(len(part[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(["row"] * len(part[0])), pa.array(part[3]), none, none, pa.array(part[0]), pa.array(np.full(len(part[0]), tile)), pa.array(part[2]), *(pa.array(c) for c in part[4:8]), pa.array(part[1])], FOUND_NAMES
+            )
+
+        kept: list[np.ndarray] | None = None
+        for cols, starts, whole in grouped(batches, size):
+            found = list(close_ones([cols[2], *cols[4:]], starts, whole, percent, most))
+            if found:
+                out = pairs(cols, *(np.concatenate(x) for x in zip(*found, strict=True)))
+                if out is not None:
+                    yield out
+            ends = np.append(starts[1:], len(cols[0]))
+            for k in np.flatnonzero(~whole | (ends - starts > most)).tolist():
+                part = [c[starts[k] : ends[k]] for c in cols]
+                if whole[k]:
+                    i, j = np.triu_indices(len(part[0]), 1)
+                    ok, far = passing([part[2], *part[4:]], [part[2], *part[4:]], i, j, percent)
+                    out = pairs(part, i[ok], j[ok], far)
+                    if out is not None:
+                        yield out
+                    continue
+                if kept is not None and kept[0][0] != part[0][0]:
+                    yield from cut(kept)
+                    kept = None
+                kept = part if kept is None else [np.concatenate([x, y]) for x, y in zip(kept, part, strict=True)]
+                while kept is not None and len(kept[0]) >= size:
+                    yield from cut([c[:size] for c in kept])
+                    kept = [c[size:] for c in kept] if len(kept[0]) > size else None
+        if kept is not None:
+            yield from cut(kept)
+
+    order = ["g", "root", "n", "cid"]
+    return rows.select(*MEMBER).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, FOUND)
+
+
+def tile_table(found: DataFrame) -> DataFrame:
+    """(g, tile, low, high, root_low, root_high, first, tiles) of the tiles of groups of several tiles."""
+    tiles = found.where("kind = 'row'").groupBy("g", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("root_low"), F.max("root").alias("root_high"), F.min("a").alias("first"))
+    several = tiles.groupBy("g").agg(F.count("*").alias("tiles"), F.min("first").alias("leader")).where("tiles > 1")
+    return tiles.join(several, "g")
+
+
+def across_tiles(spark: SparkSession, found: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the passing pairs of different components in different tiles of one group."""
+    tiles = written(spark, tile_table(found).drop("first", "leader", "tiles"), "tiles")
+    other = tiles.select("g", *[F.col(c).alias("o_" + c) for c in ("tile", "low", "high", "root_low", "root_high")])
+    one_root = (F.col("root_low") == F.col("root_high")) & (F.col("o_root_low") == F.col("o_root_high")) & (F.col("root_low") == F.col("o_root_low"))
+    met = tiles.join(other, "g").where("tile < o_tile").where((F.col("high") * 100 >= percent * F.col("o_low")) & (F.col("o_high") * 100 >= percent * F.col("low")) & ~one_root)
+    met = written(spark, met.select("tile", "o_tile"), "tile_pairs")
+    if met.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
+    rows = found.where("kind = 'row'").select("tile", F.col("a").alias("cid"), "root", "n", *VECTOR)
+    left = rows.join(met.withColumnRenamed("tile", "t").withColumnRenamed("o_tile", "u"), rows["tile"] == F.col("t")).select("t", "u", F.lit(0).alias("side"), "cid", "root", "n", *VECTOR)
+    right = rows.join(met.withColumnRenamed("tile", "t").withColumnRenamed("o_tile", "u"), rows["tile"] == F.col("u")).select("t", "u", F.lit(1).alias("side"), "cid", "root", "n", *VECTOR)
+
+    def compared(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        one, two = ([c[cols[2] == side] for c in cols[3:]] for side in (0, 1))
+        for a in range(0, len(one[0]), 256):
+            part = [c[a : a + 256] for c in one]
+            i, j = (x.reshape(-1) for x in np.indices((len(part[0]), len(two[0]))))
+            keep = part[1][i] != two[1][j]
+            i, j = i[keep], j[keep]
+            ok, _ = passing(part[2:], two[2:], i, j, percent)
+            if len(ok):
+                yield pa.RecordBatch.from_arrays([pa.array(part[0][i[ok]]), pa.array(two[0][j[ok]])], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] | None = None
+        for b in batches:
+            cols = _columns(b)
+            bounds = np.concatenate([[0], np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1, [len(cols[0])]])
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                part = [c[s:e] for c in cols]
+                if not len(part[0]):
+                    continue
+                if kept is not None and (kept[0][0] != part[0][0] or kept[1][0] != part[1][0]):
+                    yield from compared(kept)
+                    kept = None
+                kept = part if kept is None else [np.concatenate([x, y]) for x, y in zip(kept, part, strict=True)]
+        if kept is not None:
+            yield from compared(kept)
 
-SHARP = 16
-SHARP_NAMES = [f"w{k}" for k in range(SHARP)]
+    return left.unionByName(right).repartition("t", "u").sortWithinPartitions("t", "u", "side").mapInArrow(run, "a long, b long")
 
 
-def sharp_vectors(texts: DataFrame, n: int) -> DataFrame:
-    """(rep, n, v0.., w0..): size, `bins`, and counts of 32 * SHARP bins modulo 4 in Gray code, as `bins` has 64."""
+def id_filter(spark: SparkSession, ids: DataFrame):  # noqa: ANN201
+    """A bitmap of hashed ids (a DataFrame of one column), of fixed size whatever their number; only spares rows the way to a join."""
+    slot = F.pmod(F.xxhash64(ids.columns[0]), F.lit(FILTER))
+    rows = ids.select(slot.alias("s")).groupBy((F.col("s") / FILTER_ROW).cast("int").alias("row")).agg(F.bitmap_construct_agg(F.col("s") % FILTER_ROW).alias("bits")).collect()
+    bits = np.zeros((FILTER // FILTER_ROW, FILTER_ROW // 8), dtype=np.uint8)
+    for r in rows:
+        bits[r.row] = np.frombuffer(r.bits, dtype=np.uint8)
+    return spark.sparkContext.broadcast(bits.tobytes())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes, rows = [], []
-            for _, own in shingle_sets(b.column(1), n):
-                sizes.append(len(own))
-                fine = np.bincount((own >> U(30)).astype(np.int64) & 32 * SHARP - 1, minlength=32 * SHARP).astype(np.uint8) & 3
-                fine ^= fine >> 1
-                rows.append(np.concatenate([bins(own), np.packbits(np.stack([fine & 1, fine >> 1]).reshape(-1)).view("<i8")]))
-            both = np.array(rows, dtype=np.int64).reshape(-1, 4 + SHARP)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(both[:, k])) for k in range(4 + SHARP))], ["rep", "n", *ROW_NAMES[3:], *SHARP_NAMES])
 
-    return texts.mapInArrow(run, "rep long, n int, " + ", ".join(f"{w} long" for w in [*ROW_NAMES[3:], *SHARP_NAMES]))
+def in_filter(shared, slots: pa.Array) -> np.ndarray:  # noqa: ANN001
+    at = slots.to_numpy(zero_copy_only=False)
+    return np.frombuffer(shared.value, dtype=np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
-def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(sig, rep, root) of the signatures whose members are in different components; others have no pair left."""
-    rooted = members.join(roots.toDF("rep", "root"), "rep", "left").select("sig", "rep", F.coalesce("root", "rep").alias("root")).repartition("sig")
-    mixed = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
-    return rooted.join(mixed, "sig", "left_semi")
+FEATURES = "c1 long, c2 long, n_shingles long, sharp binary, wide binary, text string"
 
 
-def apart(members: DataFrame, vectors: DataFrame, percent: int, one: bool) -> DataFrame:
-    """Distinct pairs (a, b) of documents in different components that pass all vector bounds.
+def class_texts(spark: SparkSession, docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(cid, n_shingles, sharp, wide, text): one text of each class of `wanted`, with its vectors.
 
-    `members` has (sig, rep, root); only here, on their way to the comparison, do they meet their
-    vectors. With `one`, each row only gives the pair with the nearest row before it.
+    `sharp` has counts of SHARP bins modulo 4 in Gray code, as `bins` has 64; `wide` counts of WIDE
+    bins, for sets of LARGE shingles or more.
     """
+    shared = id_filter(spark, wanted.where("rep IS NOT NULL").select("rep").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols, pairs, whole in groups(batches, percent):
-            found, near = [], []
-            for earlier, i, j in pairs:
-                keep = earlier[7][i] != cols[7][j]
-                i, j = i[keep], j[keep]
-                far = sum(np.bitwise_count((earlier[8 + k][i] ^ cols[8 + k][j]).view(np.uint64)).astype(np.int64) for k in range(SHARP))
-                keep = far * (100 + percent) <= (100 - percent) * (earlier[2][i] + cols[2][j])
-                a, b = earlier[1][i[keep]], cols[1][j[keep]]
-                if one:
-                    near.append(np.stack([j[keep], far[keep], a, b]))
-                else:
-                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-            if near:
-                j, far, a, b = np.concatenate(near, axis=1)
-                order = np.lexsort((a, far, j))
-                best = order[np.flatnonzero(np.diff(j[order], prepend=-1))]
-                found.append(np.stack([np.minimum(a[best], b[best]), np.maximum(a[best], b[best])], axis=1))
-            if found and sum(map(len, found)):
-                rows = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (0, 1)], ["a", "b"])
-
-    rows = members.join(vectors, "rep").select("sig", "rep", *ROW_NAMES[2:], "root", *SHARP_NAMES)
-    return rows.repartition("sig").sortWithinPartitions("sig", "n").mapInArrow(run, "a long, b long").distinct()
-
-
-def close_pairs(spark: SparkSession, texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of (a, b) document pairs, those that pass the bound of step 4 on vectors of WIDE counts."""
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, int]] = set()
         for b in batches:
-            sizes, found = [], []
-            for _, own in shingle_sets(b.column(1), n):
-                sizes.append(len(own))
-                found.append(np.minimum(np.bincount((own >> U(20)).astype(np.int64) & WIDE - 1, minlength=WIDE), 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "n", "v"])
+            b = b.filter(pa.array(in_filter(shared, b.column(1)) | b.column(2).to_numpy(zero_copy_only=False)))
+            for a in range(0, b.num_rows, 1000):
+                part = b.slice(a, 1000)
+                rows, use = [], []
+                for k, own in shingle_sets(part.column(0), n):
+                    vector = bins(own)
+                    name = set_name(own, vector)
+                    if not len(own) or name in done:
+                        continue
+                    if len(done) >= SEEN:
+                        done.clear()
+                    done.add(name)
+                    use.append(k)
+                    fine = np.bincount((own >> U(30)).astype(np.int64) & SHARP - 1, minlength=SHARP).astype(np.uint8) & 3
+                    fine ^= fine >> 1
+                    wide = np.minimum(np.bincount((own >> U(20)).astype(np.int64) & WIDE - 1, minlength=WIDE), 255).astype(np.uint8).tobytes() if len(own) >= LARGE else b""
+                    rows.append((*name, len(own), np.packbits(np.stack([fine & 1, fine >> 1]).reshape(-1)).tobytes(), wide))
+                if rows:
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                    yield _batch(FEATURES, [*kinds, pa.string()], [*(list(c) for c in zip(*rows, strict=True)), part.column(0).take(pa.array(use))])
+
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    named = docs.select("text", slot.alias("slot"), F.col("doc_id").isNull().alias("unnamed")).mapInArrow(run, FEATURES)
+    on = ["c1", "c2", "n_shingles"]
+    return written(spark, named.join(wanted.select(*on, "cid"), on).dropDuplicates(on).select("cid", "n_shingles", "sharp", "wide", "text"), "class_texts")
+
+
+def close_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Of (a, b) class pairs, those that pass the bound by sharper vectors."""
+
+    def distance(va: list[bytes], vb: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.frombuffer(b"".join(v), dtype=np.uint8).reshape(-1, width) for v in (va, vb))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            va, vb = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint8).reshape(-1, WIDE).astype(np.int16) for k in (3, 5))
-            na, nb = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 4))
-            mask = pa.array(np.abs(va - vb).sum(axis=1) * (100 + percent) <= (100 - percent) * (na + nb))
+            na, sa, wa, nb, sb, wb = (b.column(k) for k in range(2, 8))
+            most = (100 - percent) * (na.to_numpy() + nb.to_numpy())
+            x, y = distance(sa.to_pylist(), sb.to_pylist(), SHARP // 4)
+            keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (100 + percent) <= most
+            large = np.flatnonzero(keep & (na.to_numpy() >= LARGE) & (nb.to_numpy() >= LARGE))
+            if len(large):
+                x, y = distance(wa.take(pa.array(large)).to_pylist(), wb.take(pa.array(large)).to_pylist(), WIDE)
+                keep[large] = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(axis=1) * (100 + percent) <= most[large]
+            mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
-    wide = written(spark, texts.mapInArrow(vectors, "doc_id long, n long, v binary"), "vectors")
-    both = pairs.join(wide.toDF("a", "na", "va"), "a").join(wide.toDF("b", "nb", "vb"), "b")
-    return written(spark, both.select("a", "b", "na", "va", "nb", "vb").mapInArrow(run, "a long, b long"), "close")
+    vectors = texts.select("cid", "n_shingles", "sharp", "wide")
+    both = pairs.join(vectors.toDF("a", "na", "sa", "wa"), "a").join(vectors.toDF("b", "nb", "sb", "wb"), "b")
+    return both.select("a", "b", "na", "sa", "wa", "nb", "sb", "wb").mapInArrow(run, "a long, b long")
 
 
-def verified(spark: SparkSession, texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of (a, b) document pairs, those that link."""
+def verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of (a, b) class pairs, those that link."""
+    pairs = written(spark, close_pairs(pairs, texts, percent), "close")
+    shared = id_filter(spark, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")))
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_filter(shared, b.column(2)))).select([0, 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -371,62 +545,73 @@ def verified(spark: SparkSession, texts: DataFrame, pairs: DataFrame, n: int, pe
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    own = texts.select("cid", "text", F.pmod(F.xxhash64("cid"), F.lit(FILTER)).alias("slot")).mapInArrow(needed, "cid long, text string")
+    both = pairs.join(own.toDF("a", "ta"), "a").join(own.toDF("b", "tb"), "b")
     return written(spark, both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
 
 
-def texts_of(spark: SparkSession, docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(doc_id, text) of the members' documents: by a bitmap of hashed ids of fixed size first, then by the ids.
-
-    The bitmap only spares texts the way to the join; where it is too full to tell, they all go.
-    """
-    ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
-    rows = ids.select(slot.alias("s")).groupBy((F.col("s") / FILTER_ROW).cast("int").alias("row")).agg(F.bitmap_construct_agg(F.col("s") % FILTER_ROW).alias("bits")).collect()
-    bits = np.zeros((FILTER // FILTER_ROW, FILTER_ROW // 8), dtype=np.uint8)
-    for r in rows:
-        bits[r.row] = np.frombuffer(r.bits, dtype=np.uint8)
-    shared = spark.sparkContext.broadcast(bits.tobytes())
+def open_members(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """`members` with their component, of the groups whose members are in different ones; others have no pair left."""
+    if roots is None:
+        return members.withColumn("root", F.col("cid"))
+    rooted = members.join(roots.toDF("cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    mixed = rooted.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("g")
+    return rooted.join(mixed, "g", "left_semi")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(shared.value, dtype=np.uint8)
-        for b in batches:
-            at = b.column(2).to_numpy()
-            yield b.filter(pa.array(known[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)).select([0, 1])
 
-    near = docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id long, text string")
-    return written(spark, near.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair_texts")
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = written(spark, named_sets(docs, n), "sets")
-    classes = written(spark, sets.where("n_shingles > 0").groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
-    index = index_rows(spark, docs, n, percent, frequent_buckets(spark, docs, n))
-    named = classes.select("c1", "c2", "n_shingles", "rep")
-    members = written(spark, live_rows(index, percent).join(named, ["c1", "c2", "n_shingles"]).select("sig", "rep"), "members")
-    texts = texts_of(spark, docs, members)
-    vectors = written(spark, sharp_vectors(texts, n), "sharp")
-    rooted, links, tried = members.withColumn("root", F.col("rep")), None, None
+def linked_classes(spark: SparkSession, members: DataFrame, texts: DataFrame, n: int, percent: int, whole: int = WHOLE, tile: int = TILE) -> DataFrame:
+    """(id, root) of the classes that link with others."""
+    links = tried = roots = None
     for _ in range(STARS):
-        some = written(spark, apart(rooted, vectors, percent, one=True), "some")
-        now = verified(spark, texts, close_pairs(spark, texts, some, n, percent), n, percent)
+        found = written(spark, proposals(written(spark, open_members(members, roots), "open"), percent, TOP, whole, tile), "found")
+        leaders = tile_table(found).where("first <> leader").select(F.col("first").alias("b"), F.col("leader").alias("a"), F.lit(0).cast("long").alias("far"))
+        offers = found.where("kind = 'pair'").select("b", "a", "far").unionByName(leaders)
+        if tried is not None:
+            offers = offers.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(tried.toDF("x", "y"), ["x", "y"], "left_anti").select("b", "a", "far")
+        best = offers.groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+        some = written(spark, ordered(best).distinct(), "some")
+        now = verified(spark, some, texts, n, percent)
         links, tried = (now, some) if links is None else (links.unionByName(now), tried.unionByName(some))
         roots = written(spark, connected_components(spark, links), "roots")
-        rooted = written(spark, open_members(rooted.select("sig", "rep"), roots), "open")
-    left = written(spark, apart(rooted, vectors, percent, one=False).join(tried, ["a", "b"], "left_anti"), "left")
-    more = verified(spark, texts, close_pairs(spark, texts, left, n, percent), n, percent)
-    if more.limit(1).count():
-        roots = written(spark, connected_components(spark, links.unionByName(more)), "roots")
-    component = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", "n_shingles", F.coalesce("root", "rep").alias("component"), "n")
-    total = sets.count()
-    hot = component.where(F.col("n") * 1000 > total).drop("n")
-    cold = component.where(F.col("n") * 1000 <= total).drop("n")
+        discard(spark, found)
+    found = written(spark, proposals(written(spark, open_members(members, roots), "open"), percent, None, whole, tile), "found")
+    left = ordered(found.where("kind = 'pair'").select("a", "b").unionByName(across_tiles(spark, found, percent))).distinct()
+    more = verified(spark, written(spark, left.join(tried, ["a", "b"], "left_anti"), "left"), texts, n, percent)
+    if more.isEmpty():
+        return roots
+    return written(spark, connected_components(spark, links.unionByName(more)), "roots")
+
+
+def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 3, percent: int = 90, whole: int = WHOLE, tile: int = TILE) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     on = ["c1", "c2", "n_shingles"]
-    near = sets.join(F.broadcast(hot.withColumnRenamed("component", "hot")), on, "left")
-    rest = near.where("hot IS NULL").join(cold, on, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return rest.unionByName(near.where("hot IS NOT NULL").select("doc_id", "n_shingles", F.col("hot").alias("component_id")))
+    with small_batches(spark):
+        scanned = written(spark, scan(docs, n), "sets")
+        sets = scanned.where("block IS NULL").select("doc_id", *on)
+        classes = sets.where("n_shingles > 0").groupBy(*on).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+        classes = written(spark, classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+        index = written(spark, index_rows(spark, docs, n, percent, frequent_buckets(scanned)), "index")
+        live = live_rows(index, percent, whole).dropDuplicates(["g", "c1", "c2", "n"]).withColumnRenamed("n", "n_shingles")
+        members = written(spark, live.join(classes.select(*on, "cid"), on).select("g", F.col("n_shingles").alias("n"), "cid", *VECTOR), "members")
+        discard(spark, index)
+        wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi")
+        texts = class_texts(spark, docs, wanted, n)
+        roots = linked_classes(spark, members, texts, n, percent, whole, tile)
+        named = classes.join(roots.withColumnRenamed("id", "cid"), "cid", "left")
+        least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("component"))
+        component = written(spark, named.join(least, "root", "left").select(*on, F.coalesce("component", "rep").alias("component"), "copies"), "components")
+        discard(spark, texts, members)
+    total = sets.count()
+    hot = component.where(F.col("copies") * 1000 > total).drop("copies")
+    cold = component.where(F.col("copies") * 1000 <= total).drop("copies")
+    near = sets.join(F.broadcast(hot.withColumn("is_hot", F.lit(True)).withColumnRenamed("component", "hot")), on, "left")
+    rest = near.where("is_hot IS NULL").join(cold, on, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rest.unionByName(near.where("is_hot").select("doc_id", "n_shingles", F.col("hot").alias("component_id")))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,44 +11,89 @@ DOCS = "doc_id long, text string"
 
 
 def brute(rows, n, percent):
-    sets = {}
-    for i, t in rows:
+    """{row number: (set size, smallest id of the component)}."""
+    sets, root = [], list(range(len(rows)))
+    for _, t in rows:
         w = (t or "").lower().split()
-        sets[i] = frozenset(zip(*(w[k:] for k in range(n)), strict=False)) if len(w) >= n else frozenset([tuple(w)] if w else [])
-    root = {i: i for i in sets}
+        sets.append(frozenset(zip(*(w[k:] for k in range(n)), strict=False)) if len(w) >= n else frozenset([tuple(w)] if w else []))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            inter = len(sets[a] & sets[b])
-            if inter and 100 * inter >= percent * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
+    for k in range(len(rows)):
+        for b in range(k):
+            inter = len(sets[k] & sets[b])
+            if inter and 100 * inter >= percent * len(sets[k] | sets[b]):
+                x, y = find(k), find(b)
                 root[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    return [(i, len(sets[k]), least.get(find(k))) for k, (i, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("seed", "n", "percent"), [(1, 3, 90), (2, 5, 80)])
-def test_matches_brute_force(spark, seed, n, percent):
+def result(spark, rows, *args, **kw):
+    got = similar_documents(spark, spark.createDataFrame(rows, DOCS), *args, **kw).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] is None, r[2] or 0)
+    return sorted(map(tuple, got), key=key), sorted(brute(rows, args[0], args[1]), key=key)
+
+
+def corpus(seed):
     rng = random.Random(seed)
     vocabulary = ["w%d" % i for i in range(400)]
     rows, i = [], 0
     common = [rng.choice(vocabulary) for _ in range(30)]
     for _ in range(25):
-        base = [rng.choice(vocabulary) for _ in range(rng.choice([4, 12, 40, 120, 300]))] + (common if rng.random() < 0.5 else [])
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([4, 12, 40, 120, 300, 700]))] + (common if rng.random() < 0.5 else [])
         for _ in range(rng.randint(1, 6)):
             copy = list(base)
             for _ in range(rng.randint(0, max(1, len(copy) // 40))):
                 copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
             rows.append((i, " ".join(copy)))
             i += 1
-    rows += [(i, None), (i + 1, ""), (i + 2, " \n"), (i + 3, "a"), (i + 4, "A"), (i + 5, "a b")]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_documents(spark, spark.createDataFrame(rows, DOCS), n, percent).collect()}
-    assert got == brute(rows, n, percent)
+    return rows + [(i, None), (i + 1, ""), (i + 2, " \n"), (i + 3, "a"), (i + 4, "A"), (i + 5, "a b")]
+
+
+def test_three_words_match_brute_force(spark):
+    # repeated ids with different texts, and null ids, are rows of their own
+    rows = corpus(1)
+    rows += [(3, rows[40][1]), (3, rows[50][1] + " x"), (None, rows[60][1]), (None, "nobody else has this text at all"), (None, None), rows[70], rows[70]]
+    got, want = result(spark, rows, 3, 90)
+    assert got == want
+
+
+def test_five_words_in_small_tiles(spark):
+    """Groups far larger than a tile: near copies of one text that don't all link with each other."""
+    rng = random.Random(2)
+    base = ["b%d" % k for k in range(90)]
+    rows = corpus(2)
+    for k in range(150):
+        copy = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            copy[rng.randrange(len(copy))] = "v%d" % rng.randrange(60)
+        rows.append((1000 + k, " ".join(copy)))
+    got, want = result(spark, rows, 5, 80, whole=3, tile=8)
+    assert got == want
+
+
+def test_large_group_of_near_copies(spark):
+    """More than two thousand near copies: one component, whatever the tiles."""
+    rng = random.Random(4)
+    base = ["c%d" % k for k in range(60)]
+    rows = [(k, " ".join([*base[: (at := rng.randrange(60))], "n%d" % k, *base[at + 1 :]])) for k in range(2300)]
+    rows += [(5000 + k, " ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(900)) for _ in range(60))) for k in range(50)]
+    got = similar_documents(spark, spark.createDataFrame(rows, DOCS), 3, 80).collect()
+    assert len(got) == 2350 and all(r.component_id == (0 if r.doc_id < 5000 else r.doc_id) for r in got)
+
+
+def test_extra_columns_and_long_texts(spark):
+    long = " ".join("l%d" % (k % 5000) for k in range(120_000))
+    rows = [(1, long, 7, 7, "x"), (2, long + " end", 8, 8, "y"), (3, "short text here", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, c1 long, cid long, component_id string")
+    assert {(r.doc_id, r.component_id) for r in similar_documents(spark, df).collect()} == {(1, 1), (2, 1), (3, 3)}
 
 
 def test_empty(spark):

@@ -21,13 +21,16 @@ least PERCENT / 100; the result gives each document its component under links.
    signatures of the same members give the same pairs, so one of them stays. Larger groups and those
    cut by a range border keep all their rows and the signature as their name.
 5. Groups are dealt by ranges of (group, component, size, class) and cut into tiles of TILE rows. In
-   STARS rounds each row proposes its nearest partners of another component in its own tile, and the
-   first row of a tile those of the group's other tiles; each class has its best untried proposal
-   verified, and links are joined to components. Then all pairs of classes that are still in
-   different components are compared, tile against tile, so no link is lost and neither one task's
-   memory nor its time follows a group.
-6. Proposals are first compared by sharper vectors (and for large sets by vectors of WIDE counts)
-   under the same bound, then verified on the texts.
+   STARS rounds each row proposes its nearest partners of another component in its own tile and, where
+   a group has several tiles, the hub: the row nearest to the majority vector of a tile, which is the
+   original if the others are edited copies of it. Each class has its best untried proposal verified,
+   and links are joined to components. Then all pairs of classes that are still in different
+   components are compared by sharper vectors, tile against tile, so no link is lost and neither one
+   task's memory nor its time follows a group.
+6. Proposals are compared by the sharper vectors (and for large sets by vectors of WIDE counts) under
+   the same bound, then verified on the texts.
+
+Joins of texts, vectors and members sort and merge at every size, so that shuffles grow with the input.
 
 Null and blank texts have an empty set and link with nothing, not even each other. Repeated ids
 are rows of their own, also with different texts. A null id is no smallest id: a component of null
@@ -63,6 +66,8 @@ STARS = 2
 FILTER, FILTER_ROW = 1 << 26, 1 << 15
 #: Names that a task remembers having given.
 SEEN = 200_000
+#: Keys of more than 1 / HOT of all rows, at most HOT of them, are joined by broadcast.
+HOT = 1000
 U = np.uint64
 
 
@@ -218,8 +223,11 @@ def index_rows(spark: SparkSession, docs: DataFrame, n: int, percent: int, flags
     return docs.select("text").mapInArrow(run, ROWS)
 
 
+SHARPS = [f"w{k}" for k in range(SHARP // 32)]
+
+
 def passing(one: list[np.ndarray], two: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs of rows (i of one, j of two) of (size, v0 .. v3) pass the bounds, and their distance by the finer vector.
+    """Which pairs of rows (i of one, j of two) of (size, v0 .. v3, perhaps w0 ..) pass the bounds, and their distance by the finer vector.
 
     inter / union >= p means |a ^ b| <= (1 - p) / (1 + p) * (|a| + |b|).
     """
@@ -231,7 +239,12 @@ def passing(one: list[np.ndarray], two: list[np.ndarray], i: np.ndarray, j: np.n
     ok, i, j, most, fine = ok[keep], i[keep], j[keep], most[keep], fine[keep]
     va, vb = (np.stack([c[1][k], c[2][k]], axis=1).view(np.uint8).astype(np.int16) for c, k in ((one, i), (two, j)))
     keep = np.abs(va - vb).sum(axis=1) * (100 + percent) <= most
-    return ok[keep], fine[keep]
+    ok, i, j, most, fine = ok[keep], i[keep], j[keep], most[keep], fine[keep]
+    if len(one) > 5 and len(ok):
+        sharp = sum(np.bitwise_count((one[k][i] ^ two[k][j]).view(np.uint64)).astype(np.int64) for k in range(5, len(one)))
+        keep = sharp * (100 + percent) <= most
+        ok, fine = ok[keep], fine[keep]
+    return ok, fine
 
 
 def _columns(b: pa.RecordBatch) -> list[np.ndarray]:
@@ -315,73 +328,67 @@ def live_rows(index: DataFrame, percent: int, most: int = WHOLE) -> DataFrame:
     return index.repartitionByRange("sig", "n", "c1").sortWithinPartitions("sig", "n", "c1").mapInArrow(run, LIVE)
 
 
-FOUND = "kind string, a long, b long, far long, g long, tile long, n long, v0 long, v1 long, v2 long, v3 long, root long"
-FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
-MEMBER = ("g", "root", "n", "cid", *VECTOR)
-
-
-def nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray, top: int) -> np.ndarray:
-    """Of pairs (i, j), those among the `top` nearest of j."""
+def nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance): of pairs taken both ways, those of the `top` nearest i of each j."""
+    i, j, far = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([far, far])
     order = np.lexsort((i, far, j))
     first = np.concatenate([[0], np.flatnonzero(np.diff(j[order])) + 1])
     rank = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
-    return order[rank < top]
+    keep = order[rank < top]
+    return i[keep], j[keep], far[keep]
 
 
-def proposals(rows: DataFrame, percent: int, top: int | None, most: int = WHOLE, size: int = TILE) -> DataFrame:
-    """Pairs of classes of one tile and different components, and the rows of tiles of groups that have others.
+def proposals(rows: DataFrame, percent: int, top: int | None, vectors: list[str], most: int = WHOLE, size: int = TILE) -> DataFrame:
+    """Pairs of classes of one tile and different components, and the rows of tiles of groups that may have others.
 
-    `rows` has (g, root, n, cid, v0 ..). With `top`, each row only proposes its nearest earlier rows.
+    `rows` has (g, root, n, cid) and `vectors`. With `top`, each row only proposes its nearest ones.
     """
+    names = ["kind", "a", "b", "far", "g", "tile", "root", "n", *vectors]
+    schema = "kind string, " + ", ".join(f"{c} long" for c in names[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         tile = TaskContext.get().partitionId() << 32
 
-        def pairs(cols: list[np.ndarray], i: np.ndarray, j: np.ndarray, far: np.ndarray) -> pa.RecordBatch | None:
+        def pairs(cols: list[np.ndarray], i: np.ndarray, j: np.ndarray, far: np.ndarray) -> Iterator[pa.RecordBatch]:
             ok = cols[1][i] != cols[1][j]
             i, j, far = i[ok], j[ok], far[ok]
             if top is not None and len(i):
-                best = nearest(i, j, far, top)
-                i, j, far = i[best], j[best], far[best]
-            if not len(i):
-                return None
-            none = pa.nulls(len(i), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(["pair"] * len(i)), pa.array(cols[3][i]), pa.array(cols[3][j]), pa.array(far), *([none] * 8)], FOUND_NAMES)
+                i, j, far = nearest(i, j, far, top)
+            if len(i):
+                none = pa.nulls(len(i), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(["pair"] * len(i)), pa.array(cols[3][i]), pa.array(cols[3][j]), pa.array(far), *([none] * (len(names) - 4))], names)
 
-        def cut(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            """One tile of a group that has others or may have them."""
-            nonlocal tile
-            tile += 1
+        def inside(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             i, j = np.triu_indices(len(part[0]), 1)
             keep = part[1][i] != part[1][j]
             i, j = i[keep], j[keep]
             ok, far = passing([part[2], *part[4:]], [part[2], *part[4:]], i, j, percent)
-            out = pairs(part, i[ok], j[ok], far)
-            if out is not None:
-                yield out
+            yield from pairs(part, i[ok], j[ok], far)
+
+        def cut(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """One tile of a group that has others or may have them."""
+            nonlocal tile
+            tile += 1
+            yield from inside(part)
             none = pa.nulls(len(part[0]), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(["row"] * len(part[0])), pa.array(part[3]), none, none, pa.array(part[0]), pa.array(np.full(len(part[0]), tile)), pa.array(part[2]), *(pa.array(c) for c in part[4:8]), pa.array(part[1])], FOUND_NAMES
-            )
+            row = [pa.array(["row"] * len(part[0])), pa.array(part[3]), none, none, pa.array(part[0]), pa.array(np.full(len(part[0]), tile)), pa.array(part[1]), pa.array(part[2]), *(pa.array(c) for c in part[4:])]
+            yield pa.RecordBatch.from_arrays(row, names)
+            votes = [np.unpackbits(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0) * 2 > len(c) for c in part[6:8]]
+            middle = {"g": int(part[0][0]), "tile": tile, "v2": int(np.packbits(votes[0]).view("<i8")[0]), "v3": int(np.packbits(votes[1]).view("<i8")[0])}
+            yield pa.RecordBatch.from_arrays([pa.array(["middle"]), *(pa.array([middle.get(c)], pa.int64()) for c in names[1:])], names)
 
         kept: list[np.ndarray] | None = None
         for cols, starts, whole in grouped(batches, size):
             found = list(close_ones([cols[2], *cols[4:]], starts, whole, percent, most))
             if found:
-                out = pairs(cols, *(np.concatenate(x) for x in zip(*found, strict=True)))
-                if out is not None:
-                    yield out
+                yield from pairs(cols, *(np.concatenate(x) for x in zip(*found, strict=True)))
             ends = np.append(starts[1:], len(cols[0]))
             for k in np.flatnonzero(~whole | (ends - starts > most)).tolist():
                 part = [c[starts[k] : ends[k]] for c in cols]
                 if whole[k]:
-                    i, j = np.triu_indices(len(part[0]), 1)
-                    ok, far = passing([part[2], *part[4:]], [part[2], *part[4:]], i, j, percent)
-                    out = pairs(part, i[ok], j[ok], far)
-                    if out is not None:
-                        yield out
+                    yield from inside(part)
                     continue
                 if kept is not None and kept[0][0] != part[0][0]:
                     yield from cut(kept)
@@ -394,28 +401,34 @@ def proposals(rows: DataFrame, percent: int, top: int | None, most: int = WHOLE,
             yield from cut(kept)
 
     order = ["g", "root", "n", "cid"]
-    return rows.select(*MEMBER).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, FOUND)
+    return rows.select(*order, *vectors).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
-def tile_table(found: DataFrame) -> DataFrame:
-    """(g, tile, low, high, root_low, root_high, first, tiles) of the tiles of groups of several tiles."""
-    tiles = found.where("kind = 'row'").groupBy("g", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("root_low"), F.max("root").alias("root_high"), F.min("a").alias("first"))
-    several = tiles.groupBy("g").agg(F.count("*").alias("tiles"), F.min("first").alias("leader")).where("tiles > 1")
-    return tiles.join(several, "g")
+def hub_pairs(found: DataFrame, percent: int) -> DataFrame:
+    """(b, a, far): each row of a group of several tiles with the group's hub, if they pass the bounds."""
+    middle = found.where("kind = 'middle'").groupBy("g").agg(F.count("*").alias("tiles"), F.min_by(F.struct("v2", "v3"), "tile").alias("m"))
+    middle = middle.where("tiles > 1").select("g", F.col("m.v2").alias("m2"), F.col("m.v3").alias("m3"))
+    rows = found.where("kind = 'row'").select("g", F.col("a").alias("cid"), "root", "n", "v2", "v3")
+    apart = lambda x, y: F.bit_count(F.col("v2").bitwiseXOR(F.col(x))) + F.bit_count(F.col("v3").bitwiseXOR(F.col(y)))
+    hub = rows.join(middle, "g").groupBy("g").agg(F.min(F.struct(apart("m2", "m3").alias("far"), "cid", "root", "n", "v2", "v3")).alias("h"))
+    hub = hub.select("g", F.col("h.cid").alias("a"), F.col("h.root").alias("h_root"), F.col("h.n").alias("h_n"), F.col("h.v2").alias("h2"), F.col("h.v3").alias("h3"))
+    near = rows.join(hub, "g").where("root <> h_root").withColumn("far", apart("h2", "h3").cast("long"))
+    fits = (F.least("n", "h_n") * 100 >= percent * F.greatest("n", "h_n")) & (F.col("far") * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("h_n")))
+    return near.where(fits).select(F.col("cid").alias("b"), "a", "far")
 
 
-def across_tiles(spark: SparkSession, found: DataFrame, percent: int) -> DataFrame:
+def across_tiles(spark: SparkSession, found: DataFrame, percent: int, vectors: list[str]) -> DataFrame:
     """(a, b) of the passing pairs of different components in different tiles of one group."""
-    tiles = written(spark, tile_table(found).drop("first", "leader", "tiles"), "tiles")
+    tiles = found.where("kind = 'row'").groupBy("g", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("root_low"), F.max("root").alias("root_high"))
+    tiles = written(spark, tiles, "tiles")
     other = tiles.select("g", *[F.col(c).alias("o_" + c) for c in ("tile", "low", "high", "root_low", "root_high")])
     one_root = (F.col("root_low") == F.col("root_high")) & (F.col("o_root_low") == F.col("o_root_high")) & (F.col("root_low") == F.col("o_root_low"))
     met = tiles.join(other, "g").where("tile < o_tile").where((F.col("high") * 100 >= percent * F.col("o_low")) & (F.col("o_high") * 100 >= percent * F.col("low")) & ~one_root)
-    met = written(spark, met.select("tile", "o_tile"), "tile_pairs")
+    met = written(spark, met.select(F.col("tile").alias("t"), F.col("o_tile").alias("u")), "tile_pairs")
     if met.isEmpty():
         return spark.createDataFrame([], "a long, b long")
-    rows = found.where("kind = 'row'").select("tile", F.col("a").alias("cid"), "root", "n", *VECTOR)
-    left = rows.join(met.withColumnRenamed("tile", "t").withColumnRenamed("o_tile", "u"), rows["tile"] == F.col("t")).select("t", "u", F.lit(0).alias("side"), "cid", "root", "n", *VECTOR)
-    right = rows.join(met.withColumnRenamed("tile", "t").withColumnRenamed("o_tile", "u"), rows["tile"] == F.col("u")).select("t", "u", F.lit(1).alias("side"), "cid", "root", "n", *VECTOR)
+    rows = found.where("kind = 'row'").select("tile", F.col("a").alias("cid"), "root", "n", *vectors)
+    sides = [rows.join(met.withColumn("tile", F.col(at)), "tile").select("t", "u", F.lit(side).alias("side"), "cid", "root", "n", *vectors) for side, at in ((0, "t"), (1, "u"))]
 
     def compared(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         one, two = ([c[cols[2] == side] for c in cols[3:]] for side in (0, 1))
@@ -444,7 +457,7 @@ def across_tiles(spark: SparkSession, found: DataFrame, percent: int) -> DataFra
         if kept is not None:
             yield from compared(kept)
 
-    return left.unionByName(right).repartition("t", "u").sortWithinPartitions("t", "u", "side").mapInArrow(run, "a long, b long")
+    return sides[0].unionByName(sides[1]).repartition("t", "u").sortWithinPartitions("t", "u", "side").mapInArrow(run, "a long, b long")
 
 
 def id_filter(spark: SparkSession, ids: DataFrame):  # noqa: ANN201
@@ -462,13 +475,13 @@ def in_filter(shared, slots: pa.Array) -> np.ndarray:  # noqa: ANN001
     return np.frombuffer(shared.value, dtype=np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
-FEATURES = "c1 long, c2 long, n_shingles long, sharp binary, wide binary, text string"
+FEATURES = "c1 long, c2 long, n_shingles long, " + ", ".join(f"{w} long" for w in SHARPS) + ", wide binary, text string"
 
 
 def class_texts(spark: SparkSession, docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(cid, n_shingles, sharp, wide, text): one text of each class of `wanted`, with its vectors.
+    """(cid, n_shingles, w0 .., wide, text): one text of each class of `wanted`, with its vectors.
 
-    `sharp` has counts of SHARP bins modulo 4 in Gray code, as `bins` has 64; `wide` counts of WIDE
+    w0 .. have counts of SHARP bins modulo 4 in Gray code, as `bins` has 64; `wide` counts of WIDE
     bins, for sets of LARGE shingles or more.
     """
     shared = id_filter(spark, wanted.where("rep IS NOT NULL").select("rep").distinct())
@@ -492,39 +505,39 @@ def class_texts(spark: SparkSession, docs: DataFrame, wanted: DataFrame, n: int)
                     fine = np.bincount((own >> U(30)).astype(np.int64) & SHARP - 1, minlength=SHARP).astype(np.uint8) & 3
                     fine ^= fine >> 1
                     wide = np.minimum(np.bincount((own >> U(20)).astype(np.int64) & WIDE - 1, minlength=WIDE), 255).astype(np.uint8).tobytes() if len(own) >= LARGE else b""
-                    rows.append((*name, len(own), np.packbits(np.stack([fine & 1, fine >> 1]).reshape(-1)).tobytes(), wide))
+                    rows.append((*name, len(own), *np.packbits(np.stack([fine & 1, fine >> 1]).reshape(-1)).view("<i8").tolist(), wide))
                 if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                    kinds = [pa.int64()] * (3 + len(SHARPS)) + [pa.binary()]
                     yield _batch(FEATURES, [*kinds, pa.string()], [*(list(c) for c in zip(*rows, strict=True)), part.column(0).take(pa.array(use))])
 
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
     named = docs.select("text", slot.alias("slot"), F.col("doc_id").isNull().alias("unnamed")).mapInArrow(run, FEATURES)
     on = ["c1", "c2", "n_shingles"]
-    return written(spark, named.join(wanted.select(*on, "cid"), on).dropDuplicates(on).select("cid", "n_shingles", "sharp", "wide", "text"), "class_texts")
+    return written(spark, named.hint("merge").join(wanted.select(*on, "cid"), on).dropDuplicates(on).select("cid", "n_shingles", *SHARPS, "wide", "text"), "class_texts")
 
 
 def close_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of (a, b) class pairs, those that pass the bound by sharper vectors."""
 
-    def distance(va: list[bytes], vb: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.frombuffer(b"".join(v), dtype=np.uint8).reshape(-1, width) for v in (va, vb))
+    m = len(SHARPS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            na, sa, wa, nb, sb, wb = (b.column(k) for k in range(2, 8))
-            most = (100 - percent) * (na.to_numpy() + nb.to_numpy())
-            x, y = distance(sa.to_pylist(), sb.to_pylist(), SHARP // 4)
-            keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (100 + percent) <= most
-            large = np.flatnonzero(keep & (na.to_numpy() >= LARGE) & (nb.to_numpy() >= LARGE))
+            na, nb = b.column(2).to_numpy(), b.column(4 + m).to_numpy()
+            most = (100 - percent) * (na + nb)
+            far = sum(np.bitwise_count((b.column(3 + k).to_numpy() ^ b.column(5 + m + k).to_numpy()).view(np.uint64)).astype(np.int64) for k in range(m))
+            keep = far * (100 + percent) <= most
+            large = np.flatnonzero(keep & (na >= LARGE) & (nb >= LARGE))
             if len(large):
-                x, y = distance(wa.take(pa.array(large)).to_pylist(), wb.take(pa.array(large)).to_pylist(), WIDE)
-                keep[large] = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(axis=1) * (100 + percent) <= most[large]
+                x, y = (np.frombuffer(b"".join(b.column(k).take(pa.array(large)).to_pylist()), dtype=np.uint8).reshape(-1, WIDE).astype(np.int16) for k in (3 + m, 5 + 2 * m))
+                keep[large] = np.abs(x - y).sum(axis=1) * (100 + percent) <= most[large]
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
-    vectors = texts.select("cid", "n_shingles", "sharp", "wide")
-    both = pairs.join(vectors.toDF("a", "na", "sa", "wa"), "a").join(vectors.toDF("b", "nb", "sb", "wb"), "b")
-    return both.select("a", "b", "na", "sa", "wa", "nb", "sb", "wb").mapInArrow(run, "a long, b long")
+    names = ["n_shingles", *SHARPS, "wide"]
+    one, two = (texts.select(F.col("cid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in names]) for x in ("a", "b"))
+    both = pairs.hint("merge").join(one, "a").hint("merge").join(two, "b")
+    return both.select("a", "b", *[f"{x}_{c}" for x in ("a", "b") for c in names]).mapInArrow(run, "a long, b long")
 
 
 def verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -546,7 +559,7 @@ def verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, n: int, pe
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
     own = texts.select("cid", "text", F.pmod(F.xxhash64("cid"), F.lit(FILTER)).alias("slot")).mapInArrow(needed, "cid long, text string")
-    both = pairs.join(own.toDF("a", "ta"), "a").join(own.toDF("b", "tb"), "b")
+    both = pairs.hint("merge").join(own.toDF("a", "ta"), "a").hint("merge").join(own.toDF("b", "tb"), "b")
     return written(spark, both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
 
 
@@ -554,9 +567,9 @@ def open_members(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     """`members` with their component, of the groups whose members are in different ones; others have no pair left."""
     if roots is None:
         return members.withColumn("root", F.col("cid"))
-    rooted = members.join(roots.toDF("cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    rooted = members.hint("merge").join(roots.toDF("cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     mixed = rooted.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("g")
-    return rooted.join(mixed, "g", "left_semi")
+    return rooted.hint("merge").join(mixed, "g", "left_semi")
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -567,9 +580,8 @@ def linked_classes(spark: SparkSession, members: DataFrame, texts: DataFrame, n:
     """(id, root) of the classes that link with others."""
     links = tried = roots = None
     for _ in range(STARS):
-        found = written(spark, proposals(written(spark, open_members(members, roots), "open"), percent, TOP, whole, tile), "found")
-        leaders = tile_table(found).where("first <> leader").select(F.col("first").alias("b"), F.col("leader").alias("a"), F.lit(0).cast("long").alias("far"))
-        offers = found.where("kind = 'pair'").select("b", "a", "far").unionByName(leaders)
+        found = written(spark, proposals(written(spark, open_members(members, roots), "open"), percent, TOP, VECTOR, whole, tile), "found")
+        offers = found.where("kind = 'pair'").select("b", "a", "far").unionByName(hub_pairs(found, percent))
         if tried is not None:
             offers = offers.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(tried.toDF("x", "y"), ["x", "y"], "left_anti").select("b", "a", "far")
         best = offers.groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
@@ -578,8 +590,9 @@ def linked_classes(spark: SparkSession, members: DataFrame, texts: DataFrame, n:
         links, tried = (now, some) if links is None else (links.unionByName(now), tried.unionByName(some))
         roots = written(spark, connected_components(spark, links), "roots")
         discard(spark, found)
-    found = written(spark, proposals(written(spark, open_members(members, roots), "open"), percent, None, whole, tile), "found")
-    left = ordered(found.where("kind = 'pair'").select("a", "b").unionByName(across_tiles(spark, found, percent))).distinct()
+    sharper = open_members(members, roots).hint("merge").join(texts.select("cid", *SHARPS), "cid")
+    found = written(spark, proposals(written(spark, sharper, "open"), percent, None, [*VECTOR, *SHARPS], whole, tile), "found")
+    left = ordered(found.where("kind = 'pair'").select("a", "b").unionByName(across_tiles(spark, found, percent, [*VECTOR, *SHARPS]))).distinct()
     more = verified(spark, written(spark, left.join(tried, ["a", "b"], "left_anti"), "left"), texts, n, percent)
     if more.isEmpty():
         return roots
@@ -597,18 +610,23 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 3, percent:
         classes = written(spark, classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
         index = written(spark, index_rows(spark, docs, n, percent, frequent_buckets(scanned)), "index")
         live = live_rows(index, percent, whole).dropDuplicates(["g", "c1", "c2", "n"]).withColumnRenamed("n", "n_shingles")
-        members = written(spark, live.join(classes.select(*on, "cid"), on).select("g", F.col("n_shingles").alias("n"), "cid", *VECTOR), "members")
+        members = written(spark, live.hint("merge").join(classes.select(*on, "cid"), on).select("g", F.col("n_shingles").alias("n"), "cid", *VECTOR), "members")
         discard(spark, index)
         wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi")
         texts = class_texts(spark, docs, wanted, n)
         roots = linked_classes(spark, members, texts, n, percent, whole, tile)
-        named = classes.join(roots.withColumnRenamed("id", "cid"), "cid", "left")
-        least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("component"))
-        component = written(spark, named.join(least, "root", "left").select(*on, F.coalesce("component", "rep").alias("component"), "copies"), "components")
+        named = written(spark, classes.join(roots.withColumnRenamed("id", "cid"), "cid", "left"), "named")
+        least = written(spark, named.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("classes")), "least")
+        total = sets.count()
+        # components of very many classes are looked up by a broadcast of at most HOT rows
+        large = least.where(F.col("classes") * HOT > total).select("root", F.col("component").alias("large"))
+        least = least.where(F.col("classes") * HOT <= total).drop("classes")
+        named = named.join(F.broadcast(large.withColumn("is_large", F.lit(True))), "root", "left")
+        small = named.where("is_large IS NULL").join(least, "root", "left").select(*on, F.coalesce("component", "rep").alias("component"), "copies")
+        component = written(spark, small.unionByName(named.where("is_large").select(*on, F.col("large").alias("component"), "copies")), "components")
         discard(spark, texts, members)
-    total = sets.count()
-    hot = component.where(F.col("copies") * 1000 > total).drop("copies")
-    cold = component.where(F.col("copies") * 1000 <= total).drop("copies")
+    hot = component.where(F.col("copies") * HOT > total).drop("copies")
+    cold = component.where(F.col("copies") * HOT <= total).drop("copies")
     near = sets.join(F.broadcast(hot.withColumn("is_hot", F.lit(True)).withColumnRenamed("component", "hot")), on, "left")
     rest = near.where("is_hot IS NULL").join(cold, on, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     return rest.unionByName(near.where("is_hot").select("doc_id", "n_shingles", F.col("hot").alias("component_id")))

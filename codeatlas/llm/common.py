@@ -40,6 +40,19 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(spark: SparkSession, df: DataFrame, name: str = "rows", column: str = "uid") -> DataFrame:
+    """`df` with a number that tells repeated rows apart; written, so that every reader sees the same numbers."""
+    return written(spark, df.withColumn(column, F.monotonically_increasing_id()), name)
+
+
+def fresh(columns: list[str], wanted: str) -> str:
+    """`wanted`, with underscores behind it as long as a column has that name (in any case)."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables of `written` that nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -2,17 +2,20 @@
 
 Texts are canonicalised: numbers, units after numbers and names (capitalised words inside a
 sentence) are marked as typed slots, letters are lower-cased and punctuation is dropped. A window is
-WINDOW consecutive tokens, where a slot's token is its type alone. Windows of documents meet the
-windows of benchmark items by hash and are compared token by token. Along each alignment of a
-document with an item the slots must be consistent: one benchmark value always stands against the
-same document value and the other way round; alignments that aren't do not count. A document is
-contaminated by an item if COVERAGE of the item's windows are found in it.
+WINDOW consecutive tokens, where a slot's token is its type alone; a window with fewer than LITERALS
+tokens that are no slots keeps the values as well, so it only meets its equal. Windows of documents
+meet the windows of benchmark items by hash and are compared token by token. Along each alignment of
+a document with an item the slots must be consistent: one benchmark value always stands against the
+same document value and the other way round; windows with a slot that isn't consistent count only if
+they are equal with their values. A document is contaminated by an item if COVERAGE of the item's
+windows are found in it. An item of fewer than WINDOW tokens has no window; it contaminates a
+document one line of which, or all of which, has the item's tokens with their values and no others.
 
 The benchmark's windows are broadcast only if they have at most BROADCAST_ROWS rows; else the join
-shuffles by the hash. Windows with fewer than LITERALS tokens that are no slots are not used. Items
-of fewer than WINDOW tokens, empty and null ones have no windows and match nothing; null and empty
-documents are clean. Ties between items go to the smallest id. Repeated ids give a row each. Extra columns
-are ignored; empty tables give an empty or an all-clean result.
+shuffles by the hash. Items without tokens, empty and null ones match nothing; null and empty
+documents are clean. Ties between items go to the smallest id; items with a null id contaminate but
+are named last, as null. Repeated rows are judged each by its own text, whatever their ids. Extra
+columns are ignored; empty tables give an empty or an all-clean result.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import maybe_broadcast, table, written
+from codeatlas.llm.common import fresh, maybe_broadcast, numbered, table, written
 
 WINDOW, LITERALS, COVERAGE = 5, 3, 0.5
 NUMBER, UNIT, NAME = "", "", ""
@@ -59,13 +62,21 @@ def is_slot(token: Column) -> Column:
     return F.substring(token, 1, 1).between(NUMBER, NAME)
 
 
+def window_hashes(tokens: Column, slots: Column) -> Column:
+    """The hash of each window of a token array: of its types, or of the whole tokens where few are literal."""
+    span = F.sequence(F.lit(0), F.size(tokens) - WINDOW)
+    plain = F.transform(span, lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(WINDOW)]))
+    types = F.transform(tokens, slot_type)
+    literal = lambda i: sum((F.when(is_slot(F.get(tokens, i + k)), 0).otherwise(1) for k in range(WINDOW)), F.lit(0)) >= LITERALS
+    typed = F.transform(span, lambda i: F.when(literal(i), F.xxhash64(*[F.get(types, i + k) for k in range(WINDOW)])).otherwise(F.xxhash64(*[F.get(tokens, i + k) for k in range(WINDOW)])))
+    return F.when(F.size(tokens) >= WINDOW, F.when(slots, typed).otherwise(plain))
+
+
 def windows(rows: DataFrame, id_col: str) -> DataFrame:
     """(id, at, hash) of every window of (id, text) rows; nulls for texts without one."""
     text = F.coalesce("text", F.lit(""))
-    tokens = rows.select(id_col, may_have_slots(text).alias("slots"), canonical_tokens(text).alias("tokens"))
-    types = tokens.select(id_col, F.when(F.col("slots"), F.transform("tokens", slot_type)).otherwise(F.col("tokens")).alias("t"))
-    hashes = F.transform(F.sequence(F.lit(0), F.size("t") - WINDOW), lambda i: F.xxhash64(*[F.get("t", i + k) for k in range(WINDOW)]))
-    return types.select(id_col, F.when(F.size("t") >= WINDOW, hashes).alias("hashes")).select(id_col, F.posexplode_outer("hashes").alias("at", "hash"))
+    tokens = rows.select(id_col, may_have_slots(text).alias("slots"), canonical_tokens(text).alias("t"))
+    return tokens.select(id_col, window_hashes(F.col("t"), F.col("slots")).alias("hashes")).select(id_col, F.posexplode_outer("hashes").alias("at", "hash"))
 
 
 def with_windows(rows: DataFrame, places: DataFrame, id_col: str, name: str) -> DataFrame:
@@ -78,45 +89,78 @@ def with_windows(rows: DataFrame, places: DataFrame, id_col: str, name: str) ->
     return each.select(id_col, *[F.col("p")[c].alias(c) for c in others], F.slice("tokens", F.col("p.at") + 1, WINDOW).alias(name))
 
 
-def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, at, d, item_id, q, b) of equal template windows, and the number of windows per item."""
-    own = windows(benchmark, "item_id").where("hash IS NOT NULL")
-    own = with_windows(benchmark, own, "item_id", "b").where(F.size(F.filter("b", lambda t: ~is_slot(t))) >= LITERALS)
-    own = written(spark, own.withColumnRenamed("at", "q"), "item_windows")
-    met = written(spark, windows(docs, "doc_id").join(maybe_broadcast(own.select("hash", "item_id", "q", "b")), "hash").select("doc_id", "at", "item_id", "q", "b"), "met")
-    same = F.transform("d", slot_type) == F.transform("b", slot_type)
-    return written(spark, with_windows(docs, met, "doc_id", "d").where(same), "matches"), own.groupBy("item_id").agg(F.countDistinct("q").alias("windows"))
+def alike(d: Column, b: Column) -> Column:
+    """Whether two windows are equal by types, or with their values where few tokens are literal."""
+    many = F.size(F.filter(b, lambda t: ~is_slot(t))) >= LITERALS
+    return F.when(many, F.transform(d, slot_type) == F.transform(b, slot_type)).otherwise(d == b)
 
 
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """(doc_id, item_id, coverage): the items found in each document, one row per pair."""
-    found, sizes = matches(spark, docs, benchmark)
-    on = ["doc_id", "item_id", "shift"]
+def matches(spark: SparkSession, docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(uid, at, d, item, q, b) of equal template windows of (uid, text) and (item, text) rows, and the number of windows per item."""
+    own = with_windows(items, windows(items, "item").where("hash IS NOT NULL"), "item", "b")
+    own = written(spark, own.withColumnRenamed("at", "q"), "item_windows")
+    met = written(spark, windows(docs, "uid").join(maybe_broadcast(own.select("hash", "item", "q", "b")), "hash").select("uid", "at", "item", "q", "b"), "met")
+    return written(spark, with_windows(docs, met, "uid", "d").where(alike(F.col("d"), F.col("b"))), "matches"), own.groupBy("item").agg(F.countDistinct("q").alias("windows"))
+
+
+def short_matches(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """(uid, item) of items without a window that are one line of a document or all of it; None without such items."""
+    tokens = lambda c: canonical_tokens(F.coalesce(c, F.lit("")))
+    short = items.select("item", tokens("text").alias("t")).where((F.size("t") > 0) & (F.size("t") < WINDOW)).select("item", F.xxhash64("t").alias("hash"), F.col("t").alias("b"))
+    if short.isEmpty():
+        return None
+    lines = F.array_union(F.array("text"), F.split("text", "\n"))
+    # a line of fewer than WINDOW tokens, whatever their length
+    few = docs.where("text IS NOT NULL").select("uid", F.explode(lines).alias("line")).select("uid", tokens("line").alias("t")).where((F.size("t") > 0) & (F.size("t") < WINDOW))
+    return few.withColumn("hash", F.xxhash64("t")).join(maybe_broadcast(short), "hash").where(F.col("t") == F.col("b")).select("uid", "item").distinct()
+
+
+def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """(uid, item, coverage): the items found in each document, one row per pair; rows (uid, text) and (item, text) have unique numbers."""
+    found, sizes = matches(spark, docs, items)
+    on = ["uid", "item", "shift"]
     aligned = found.withColumn("shift", F.col("at") - F.col("q"))
     slots = (
-        aligned.select(*on, F.explode(F.arrays_zip("d", "b")).alias("x"))
+        aligned.select(*on, "q", F.explode(F.arrays_zip("d", "b")).alias("x"))
         .where(is_slot(F.col("x.b")))
-        .select(*on, F.col("x.d").alias("d"), F.col("x.b").alias("b"))
+        .select(*on, "q", F.col("x.d").alias("d"), F.col("x.b").alias("b"))
         .distinct()
     )
-    split = slots.groupBy(*on, "b").agg(F.count("*").alias("n")).where("n > 1").select(*on)
-    merged = slots.groupBy(*on, "d").agg(F.count("*").alias("n")).where("n > 1").select(*on)
-    consistent = aligned.join(split.union(merged).distinct(), on, "left_anti")
-    share = consistent.groupBy("doc_id", "item_id").agg(F.countDistinct("q").alias("n")).join(maybe_broadcast(sizes), "item_id")
-    return share.select("doc_id", "item_id", (F.col("n") / F.col("windows")).alias("coverage")).where(F.col("coverage") >= coverage)
+    values = slots.select(*on, "d", "b").distinct()
+    split = values.groupBy(*on, "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    merged = values.groupBy(*on, "d").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    doubtful = slots.join(split, [*on, "b"], "left_semi").select(*on, "q").union(slots.join(merged, [*on, "d"], "left_semi").select(*on, "q")).distinct()
+    consistent = aligned.join(doubtful.withColumn("doubt", F.lit(True)), [*on, "q"], "left").where("doubt IS NULL OR d = b")
+    share = consistent.groupBy("uid", "item").agg(F.countDistinct("q").alias("n")).join(maybe_broadcast(sizes), "item")
+    out = share.select("uid", "item", (F.col("n") / F.col("windows")).alias("coverage")).where(F.col("coverage") >= coverage)
+    short = short_matches(docs, items)
+    return out if short is None else out.unionByName(short.withColumn("coverage", F.lit(1.0)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """One row per document: doc_id, contaminated, item_id and coverage of the best item, n_items."""
-    hits = contamination(spark, docs, benchmark, coverage).groupBy("doc_id").agg(F.max(F.struct("coverage", (-F.col("item_id")).alias("i"))).alias("best"), F.count("*").alias("n"))
-    return docs.select("doc_id").join(hits, "doc_id", "left").select(
+    rows = numbered(spark, docs.select("doc_id", "text"), "documents")
+    items = numbered(spark, benchmark.select("item_id", "text"), "items", "item")
+    leaks = contamination(spark, rows.select("uid", "text"), items.select("item", "text"), coverage).join(maybe_broadcast(items.select("item", "item_id")), "item")
+    best = F.min(F.struct((-F.col("coverage")).alias("c"), F.col("item_id").isNull().alias("unnamed"), "item_id"))
+    hits = leaks.groupBy("uid").agg(best.alias("best"), F.countDistinct("item").alias("n"))
+    return rows.select("uid", "doc_id").join(hits, "uid", "left").select(
         "doc_id",
         F.col("best").isNotNull().alias("contaminated"),
-        (-F.col("best.i")).alias("item_id"),
-        F.coalesce("best.coverage", F.lit(0.0)).alias("coverage"),
+        F.col("best.item_id").alias("item_id"),
+        F.coalesce(-F.col("best.c"), F.lit(0.0)).alias("coverage"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_items"),
     )
 
 
+def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of `docs`, with all their columns, that hold no item."""
+    uid = fresh(docs.columns, "uid")
+    rows = numbered(spark, docs, "documents", uid)
+    items = numbered(spark, benchmark.select("item_id", "text"), "items", "item")
+    leaks = contamination(spark, rows.select(F.col(uid).alias("uid"), "text"), items.select("item", "text"), coverage).select(F.col("uid").alias(uid)).distinct()
+    return rows.join(leaks, uid, "left_anti").select(docs.columns)
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))

@@ -6,8 +6,9 @@ the number of tokens that it expands to. The template wraps each turn in control
 strings inside texts are escaped reversibly (`<|` becomes `<||`), so that reading the output back
 gives exactly the turns that went in.
 
-Null roles and texts are empty. Turns are ordered by turn, then role, then text; repeated rows stay
-repeated turns. Unknown part types raise. An empty table gives an empty result. Formatting is
+Null roles and texts are empty; a null conversation id is one conversation, a null turn comes first.
+Turns are ordered by turn, then role, then text; repeated rows stay repeated turns. Unknown part types
+raise. An empty table gives an empty result. Extra columns are ignored. Formatting is
 row-wise; assembling a conversation streams its sorted segments, so memory follows one message and
 not one conversation, however many turns share a conversation id.
 """
@@ -20,7 +21,7 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from codeatlas.llm.common import table
 
 START, END, MARK = "<|im_start|>", "<|im_end|>", "<|"
 PARTS = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
-SEGMENTS = "conv_id long, turn long, seq long, segment string, loss_start long, loss_length long, attachments string, expanded_tokens long"
+SEGMENTS = "conv_id long, turn long, segment string, loss_start long, loss_length long, attachments string, n_attachments long, expanded_tokens long"
 
 
 def escape(text: str) -> str:
@@ -105,46 +106,64 @@ def parse(formatted: str) -> Iterator[tuple[str, str, int]]:
         at = m.end()
 
 
-def format_messages(messages: DataFrame) -> DataFrame:
-    """Segments of (conv_id, turn, role, parts) rows, one per message, in parallel.
+PLACEHOLDER = re.compile(r"<\|(image|audio|document)_([0-9]+)\|>")
+
+
+def content_parts(content: str) -> list[dict]:
+    """The parts of formatted content: texts unescaped, placeholders by kind and number.
 
-    `seq` breaks ties among messages of one turn by role and text.
+    No text can look like a placeholder, as every `<|` of a text is escaped.
     """
+    out, at = [], 0
+    for m in PLACEHOLDER.finditer(content):
+        if m.start() > at:
+            out.append({"type": "text", "text": unescape(content[at : m.start()])})
+        out.append({"type": m[1], "number": int(m[2])})
+        at = m.end()
+    return out + ([{"type": "text", "text": unescape(content[at:])}] if at < len(content) else [])
+
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    columns = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(list(x), kinds[k]) for x, (_, k) in zip(zip(*rows, strict=True) if rows else [()] * len(columns), columns, strict=True)], [c for c, _ in columns])
+
+
+def format_messages(messages: DataFrame) -> DataFrame:
+    """Segments of (conv_id, turn, role, parts) rows, one per message, in parallel."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for conv, turn, role, parts in zip(batch["conv_id"], batch["turn"], batch["role"], batch["parts"], strict=True):
-                parts = [dict(p) for p in parts] if parts is not None else []
-                segment, start, length, refs = format_turn(None if pd.isna(role) else role, [{k: (None if v is None or v != v else v) for k, v in p.items()} for p in parts])
-                rows.append((conv, turn, 0, segment, start, length, json.dumps(refs), sum(r["tokens"] for r in refs)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SEGMENTS.split(", ")])
+            for conv, turn, role, parts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                segment, start, length, refs = format_turn(role, parts)
+                rows.append((conv, turn, segment, start, length, json.dumps(refs), len(refs), sum(r["tokens"] for r in refs)))
+            yield _batch(SEGMENTS, rows)
 
     clean = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.col("parts").cast(PARTS))
-    return clean.mapInPandas(run, SEGMENTS)
+    return clean.mapInArrow(run, SEGMENTS)
 
 
-RESULT = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+RESULT = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long"
 
 
 def digest_conversations(segments: DataFrame) -> DataFrame:
     """Reads the formatted segments back and digests them conversation by conversation, in a stream."""
-    dealt = segments.select("conv_id", "turn", "segment", "loss_start", "loss_length").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment")
+    dealt = segments.select("conv_id", "turn", "segment", "loss_start", "loss_length", "n_attachments", "expanded_tokens").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, done = None, None, []
 
-        def result() -> pd.DataFrame:
-            n, turns, chars, loss, formatted = state
-            return pd.DataFrame([(now, n, turns.hexdigest(), chars, loss.hexdigest(), formatted)], columns=[c.split()[0] for c in RESULT.split(", ")])
+        def result() -> tuple:
+            n, turns, chars, loss, formatted, attached, expanded = state
+            return now, n, turns.hexdigest(), chars, loss.hexdigest(), formatted, attached, expanded
 
-        done = []
         for batch in batches:
-            for conv, segment, start, length in zip(batch["conv_id"], batch["segment"], batch["loss_start"], batch["loss_length"], strict=True):
+            for conv, segment, start, length, attached, expanded in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5, 6)), strict=True):
                 if state is None or conv != now:
                     if state is not None:
                         done.append(result())
-                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
                 for role, text, _ in parse(segment):
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode())
@@ -152,13 +171,15 @@ def digest_conversations(segments: DataFrame) -> DataFrame:
                 state[2] += len(masked)
                 state[3].update(masked.encode())
                 state[4] += len(segment)
+                state[5] += attached
+                state[6] += expanded
             if done:
-                yield pd.concat(done)
+                yield _batch(RESULT, done)
                 done = []
         if state is not None:
-            yield result()
+            yield _batch(RESULT, [result()])
 
-    return dealt.mapInPandas(run, RESULT)
+    return dealt.mapInArrow(run, RESULT)
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,6 +200,7 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(24 + length(replace(role, '<|', '<||')) + length(replace(text, '<|', '<||'))) AS BIGINT) AS formatted_chars
+       CAST(sum(24 + length(replace(role, '<|', '<||')) + length(replace(text, '<|', '<||'))) AS BIGINT) AS formatted_chars,
+       CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
 FROM c GROUP BY conv_id
 """

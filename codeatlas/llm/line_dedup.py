@@ -10,8 +10,8 @@
 
 Null texts stay null, empty ones empty. Very long texts are one row each, as they came. Repeated
 rows are documents of their own only if their ids differ: of equal ids, each row loses what its id
-loses. An empty table gives an empty result. Extra columns are kept by `dedup_lines` and may have any
-name but `text` and `doc_id`, which it needs.
+loses; a null id loses nothing. An empty table gives an empty result. Extra columns are kept by
+`dedup_lines` and may have any name; its own two come last, with an underscore behind where taken.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import table, written
+from codeatlas.llm.common import fresh, table, written
 
 MIN_WORDS, LONG_LINE = 20, 50
 BLANKS = " \t\r\x0b\x0c"
@@ -139,20 +139,24 @@ def removals(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """`docs` with repeated chunks removed from `text`, and lines_in and lines_removed added."""
-    gone = removals(spark, docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("__gone"))
-    joined = docs.join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
+    """`docs` with repeated chunks removed from `text`, and lines_in and lines_removed added behind."""
+    names: list[str] = []
+    for wanted in ("gone", "id", "left", "lines_in", "lines_removed"):
+        names.append(fresh([*docs.columns, *names], wanted))
+    span, key, left, lines_in, lines_removed = names
+    gone = removals(spark, docs).groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias(span))
+    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col(key), "left")
     lines = F.split("text", "\n", -1)
-    left = F.filter(lines, lambda _, i: ~F.exists("__gone", lambda g: (i >= g["first"]) & (i <= g["last"])))
+    kept = F.filter(lines, lambda _, i: ~F.exists(span, lambda g: (i >= g["first"]) & (i <= g["last"])))
     size = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    out = joined.withColumn("__left", F.when(F.col("__gone").isNotNull(), left)).withColumns(
+    out = joined.withColumn(left, F.when(F.col(span).isNotNull(), kept)).withColumns(
         {
-            "lines_in": size,
-            "lines_removed": F.when(F.col("__left").isNull(), F.lit(0)).otherwise(size - F.size("__left")).cast("long"),
-            "text": F.when(F.col("__left").isNull(), F.col("text")).otherwise(F.array_join("__left", "\n")),
+            lines_in: size,
+            lines_removed: F.when(F.col(left).isNull(), F.lit(0)).otherwise(size - F.size(left)).cast("long"),
+            "text": F.when(F.col(left).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")),
         }
     )
-    return out.select(*docs.columns, "lines_in", "lines_removed")
+    return out.select(*docs.columns, lines_in, lines_removed)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ Gumbel draw (a hash of the id and the seed) and taking the k largest keys sample
 replacement in proportion to their weights. k is the labelled share of good documents times the
 number of rows. The k-th key is found exactly by histograms refined until one bin holds few rows.
 
-Null and empty texts have no n-grams and log weight 0. Equal keys are ordered by id, then all rows
-with an equal key and id are treated alike. Labels of unknown documents are ignored, as are null
+Null and empty texts have no n-grams and log weight 0. Equal keys are ordered by id, a null id last,
+and of fully repeated rows any come first, so exactly k rows are kept. Labels of unknown documents are ignored, as are null
 labels; without any good label the weights are 0 and the sample is uniform. Extra columns are
 ignored; an empty table gives an empty result.
 """
@@ -70,23 +70,20 @@ def model(spark: SparkSession, docs: DataFrame, target_ids: DataFrame) -> np.nda
     return np.log(p[:, 1]) - np.log(p[:, 0])
 
 
-def kth_key(scored: DataFrame, k: int) -> tuple[float, int]:
-    """(key, id) of the k-th row by key descending, id ascending; exact, by refining histograms."""
-    low, high = scored.agg(F.min("key"), F.max("key")).first()
+def threshold(rows: DataFrame, k: int, columns: list[str], few: int = FEW) -> list:
+    """Values of the k-th row by numeric columns, all descending; exact, by refining histograms of one after the other."""
+    column, *rest = columns
+    low, high = rows.agg(F.min(column), F.max(column)).first()
     above = 0
     while True:
-        inside = scored.where((F.col("key") >= low) & (F.col("key") <= high))
-        n = inside.count()
-        if n <= FEW or low == high:
-            left = k - above
-            if n <= FEW:
-                rows = sorted(((r.key, r.doc_id) for r in inside.select("key", "doc_id").collect()), key=lambda x: (-x[0], x[1]))
-                return rows[left - 1]
-            # one key for many rows: the ids decide, found the same way
-            ids = inside.select((-F.col("doc_id")).cast("double").alias("key"), F.col("doc_id"))
-            return low, kth_key(ids, left)[1]
-        width = (high - low) / 1024
-        bins = {r.b: (r.n, r.lo, r.hi) for r in inside.groupBy(F.least(F.lit(1023), F.floor((F.col("key") - low) / width)).alias("b")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()}
+        inside = rows.where((F.col(column) >= low) & (F.col(column) <= high))
+        if low == high:
+            return [low, *(threshold(inside, k - above, rest, few) if rest else [])]
+        if inside.limit(few + 1).count() <= few:
+            return list(sorted(map(tuple, inside.select(*columns).collect()), reverse=True)[k - above - 1])
+        width = (float(high) - float(low)) / 1024
+        bin_of = F.least(F.lit(1023), F.floor((F.col(column).cast("double") - float(low)) / width))
+        bins = {r.b: (r.n, r.lo, r.hi) for r in inside.groupBy(bin_of.alias("b")).agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).collect()}
         for b in sorted(bins, reverse=True):
             if above + bins[b][0] >= k:
                 low, high = bins[b][1], bins[b][2]
@@ -94,12 +91,16 @@ def kth_key(scored: DataFrame, k: int) -> tuple[float, int]:
             above += bins[b][0]
 
 
-SCORED = "doc_id long, n_features long, log_weight double"
+SCORED = "uid long, doc_id long, n_features long, log_weight double"
+
+
+OUT = ("doc_id", "n_features", "log_weight", "key")
 
 
 def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 11) -> DataFrame:
     """One row per document: doc_id, n_features, log_weight, key, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with_number = docs.withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc_id", "text")
     judged = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
     good = judged.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     if share is None:
@@ -111,19 +112,22 @@ def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, share: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             count, weight = np.zeros(b.num_rows, dtype=np.int64), np.zeros(b.num_rows)
-            for i, j, got, bounds in features(b.column(1)):
+            for i, j, got, bounds in features(b.column(2)):
                 running = np.concatenate([[0.0], np.cumsum(ratio.value[got])])
                 present = np.concatenate([[0], np.cumsum(got >= 0)])
                 weight[i:j], count[i:j] = np.diff(running[bounds]), np.diff(present[bounds])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count), pa.array(np.round(weight, 6))], ["doc_id", "n_features", "log_weight"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(count), pa.array(np.round(weight, 6))], ["uid", "doc_id", "n_features", "log_weight"])
 
     draw = (F.pmod(F.xxhash64(F.lit(seed), F.lit("gumbel"), F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    scored = written(spark, docs.mapInArrow(run, SCORED).withColumn("key", F.col("log_weight") - F.log(-F.log(draw))), "scored")
+    key = F.col("log_weight") - F.log(-F.log(draw))
+    # columns that all descend: the key, then smaller ids first with null ids last, then the row number
+    scored = written(spark, with_number.mapInArrow(run, SCORED).withColumns({"key": key, "by_id": F.coalesce((-F.lit(1).cast("long") - F.col("doc_id")), F.lit(-(1 << 63))), "by_row": -F.col("uid")}), "scored")
     k = round(share * scored.count())
     if k == 0:
-        return scored.withColumn("kept", F.lit(False))
-    key, last = kth_key(scored, k)
-    return scored.withColumn("kept", (F.col("key") > key) | ((F.col("key") == key) & (F.coalesce(F.col("doc_id") <= F.lit(last), F.lit(True)))))
+        return scored.select(*OUT, F.lit(False).alias("kept"))
+    last = threshold(scored, k, ["key", "by_id", "by_row"])
+    kept = F.struct("key", "by_id", "by_row") >= F.struct(*[F.lit(v).cast(t) for v, t in zip(last, ("double", "long", "long"), strict=True)])
+    return scored.select(*OUT, kept.alias("kept"))
 
 
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,25 +1,27 @@
 """Exact dedup by an extendible-hash index on shared files (DataFrame functions only).
 
-1. One scan hashes every normalised text and keeps, for each row, the hash, the digest and the
-   length: the index entries.
-2. The directory starts with one bucket and doubles: a bucket whose entries exceed the capacity is
-   split by one more bit of the hash until it fits or the directory has `max_depth` bits. The
-   histogram it works on counts distinct hashes by their low `max_depth` bits, so the driver holds
-   at most 2**max_depth numbers whatever the corpus.
-3. Entries are dealt to owner tasks by ranges of buckets and written to the shared folder.
-4. Hashes with more than one row are chained: their rows' normalised texts are grouped by the
-   bytes themselves, so two texts that merely collide get separate links of the chain.
-5. Every entry takes the outcome of its link. Links with very many rows are looked up apart, by a
-   broadcast that holds at most HOT_LINKS rows, so no task gets a hot group.
-
-Null texts count as empty; white-space-only and empty texts are equal to each other. Ties on length
-go to the smallest id, and repeated ids each give a row. An empty table gives an empty result.
-Columns other than the id and the text are ignored, whatever their names.
+1. One scan counts the rows of each hash of a normalised text (map-side combined).
+2. The directory starts with one bucket and doubles: a bucket of more distinct hashes than the
+   capacity is split by one more bit of the hash until it fits or the directory has `max_depth` bits.
+   It works on a histogram of distinct hashes by their low `max_depth` bits, so the driver holds at
+   most 2**max_depth numbers whatever the corpus. Runs of buckets of about equal size get an owner.
+3. Rows are dealt to the owner tasks with their texts. An owner sorts its key range by hash and
+   text: equal hashes form a chain, whose links are told apart by the bytes of the texts, so texts
+   that merely collide stay apart. Each row takes its link's outcome there, and the index entries
+   (id, hash, digest, bucket, outcome) go to the shared folder, owner by owner.
+4. Hashes of more than 1 / HOT_LINKS of all rows, at most HOT_LINKS of them, have no owner: their
+   chains are combined on the map side, and rows look them up by a broadcast of a few rows each.
+
+Null texts count as empty; white-space-only and empty texts are equal to each other. Exactly one row
+of a group stays: ties on length go to the smallest id, a null id last, and of fully repeated rows any
+one. keep_id is the id of the row that stays (null if that is null). An empty table gives an empty
+result. Columns other than the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeatlas.llm.common import table, without_white_space, written
@@ -46,58 +48,45 @@ def directory(histogram: dict[int, int], capacity: int, max_depth: int) -> list[
     return sorted((bits, local, sum(own.values())) for (bits, local), own in buckets.items())
 
 
-def extendible_index(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, capacity: int, max_depth: int) -> DataFrame:
-    """Entries (id, hash, digest, length, bucket), stored by bucket in the shared folder."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    entries = written(
-        spark,
-        docs.select(F.col(id_col).alias("id"), text.alias("t"))
-        .select("id", "t", without_white_space(F.col("t")).alias("norm"))
-        .select("id", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("digest"), F.char_length("t").cast("long").alias("n")),
-        "entries",
-    )
-    low = F.col("h").bitwiseAND(F.lit((1 << max_depth) - 1))
-    histogram = {r.low: r.n for r in entries.select("h").distinct().groupBy(low.alias("low")).agg(F.count("*").alias("n")).collect()}
-    split = directory(histogram, capacity, max_depth)
+def owners(split: list[tuple[int, int, int]], tasks: int) -> list[tuple[int, int, int]]:
+    """(slot, bucket, owner) of a directory: each slot's bucket, and runs of buckets of about equal size."""
     depth = max(d for _, d, _ in split)
-    slots = [(s, i) for i, (bits, local, _) in enumerate(split) for s in range(bits, 1 << depth, 1 << local)]
-    owners = F.broadcast(spark.createDataFrame(slots, "slot long, bucket int"))
-    owned = entries.withColumn("slot", F.col("h").bitwiseAND(F.lit((1 << depth) - 1))).join(owners, "slot").drop("slot")
-    return written(spark, owned.repartitionByRange(F.col("bucket"), F.col("h"), F.col("id")), "buckets")
+    share = max(1, -(-sum(n for *_, n in split) // tasks))
+    out, seen = [], 0
+    for bucket, (bits, local, n) in enumerate(split):
+        out += [(slot, bucket, seen // share) for slot in range(bits, 1 << depth, 1 << local)]
+        seen += n
+    return out
 
 
 def exact_duplicates(
-    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 100_000, max_depth: int = 14
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 100_000, max_depth: int = 14, hot_links: int = HOT_LINKS
 ) -> DataFrame:
     """One row per row of `docs`: id, keep_id, group_size, kept, text_sha256, bucket."""
-    index = extendible_index(spark, docs, id_col, text_col, capacity, max_depth)
-    shared = index.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1").select("h")
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).select(
-        "id", without_white_space(F.col("t")).alias("norm"), F.char_length("t").cast("long").alias("n")
-    )
-    candidates = texts.withColumn("h", F.xxhash64("norm")).join(shared, "h", "left_semi")
-    chains = written(
-        spark,
-        candidates.groupBy("h", "norm")
-        .agg(F.count("*").alias("size"), F.min(F.struct((-F.col("n")).alias("m"), F.col("id"))).alias("best"))
-        .where("size > 1")
-        .select("h", F.sha2("norm", 256).alias("digest"), "size", F.col("best.id").alias("keep")),
-        "chains",
-    )
-    total = index.count()
-    hot = chains.where(F.col("size") * HOT_LINKS > total)
-    cold = chains.where(F.col("size") * HOT_LINKS <= total)
-    on = ["h", "digest"]
-    first = index.join(F.broadcast(hot.withColumnsRenamed({"size": "hot_size", "keep": "hot_keep"})), on, "left")
-    rest = first.where("hot_keep IS NULL").drop("hot_keep", "hot_size").join(cold, on, "left")
-    done = first.where("hot_keep IS NOT NULL").withColumnsRenamed({"hot_size": "size", "hot_keep": "keep"}).select(rest.columns)
-    return rest.unionByName(done).select(
-        F.col("id").alias(id_col),
-        F.coalesce("keep", "id").alias("keep_id"),
-        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("keep") == F.col("id"), F.lit(True)).alias("kept"),
-        F.col("digest").alias("text_sha256"),
-        F.col("bucket"),
+    text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = text.select("id", without_white_space(F.col("t")).alias("norm"), F.char_length("t").cast("long").alias("n")).withColumn("h", F.xxhash64("norm"))
+    hashes = written(spark, rows.groupBy("h").agg(F.count("*").alias("rows")), "hashes")
+    total = hashes.agg(F.sum("rows")).first()[0] or 0
+    low = F.col("h").bitwiseAND(F.lit((1 << max_depth) - 1))
+    split = directory({r.low: r.n for r in hashes.groupBy(low.alias("low")).agg(F.count("*").alias("n")).collect()}, capacity, max_depth)
+    depth = max(d for _, d, _ in split)
+    slots = spark.createDataFrame(owners(split, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "slot long, bucket int, owner int")
+    hot = hashes.where(F.col("rows") * hot_links > total).select("h")
+    numbers = rows.withColumns({"uid": F.monotonically_increasing_id(), "slot": F.col("h").bitwiseAND(F.lit((1 << depth) - 1))}).join(F.broadcast(slots), "slot")
+
+    link = W.partitionBy("owner", "h", "norm")
+    best = link.orderBy(F.desc("n"), F.asc_nulls_last("id"), "uid")
+    owned = numbers.join(F.broadcast(hot), "h", "left_anti").repartition("owner")
+    owned = owned.select("id", "bucket", "norm", F.first("id").over(best).alias("keep"), F.count("*").over(link).alias("size"), (F.row_number().over(best) == 1).alias("kept"))
+    index = written(spark, owned.select("id", "keep", "size", "kept", F.sha2("norm", 256).alias("digest"), "bucket"), "buckets")
+
+    spread = written(spark, numbers.join(F.broadcast(hot), "h", "left_semi").select("id", "uid", "n", "h", "bucket", F.sha2("norm", 256).alias("digest")), "hot_rows")
+    links = rows.join(F.broadcast(hot), "h", "left_semi").groupBy("h", "norm").agg(F.count("*").alias("size")).select("h", F.sha2("norm", 256).alias("digest"), "size")
+    order = F.struct((-F.col("n")).alias("m"), F.col("id").isNull().alias("unnamed"), "id", "uid")
+    chosen = spread.groupBy("h", "digest").agg(F.min(order).alias("best")).join(links, ["h", "digest"])
+    looked = spread.join(F.broadcast(chosen), ["h", "digest"]).select("id", F.col("best.id").alias("keep"), "size", (F.col("uid") == F.col("best.uid")).alias("kept"), "digest", "bucket")
+    return index.unionByName(looked).select(
+        F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("size").cast("long").alias("group_size"), "kept", F.col("digest").alias("text_sha256"), "bucket"
     )
 
 

@@ -5,9 +5,12 @@ pieces of the capacity, the last one shorter; all others stay whole. Since only
 packing, the plan is made on the histogram of piece lengths, which has at most `capacity` entries
 whatever the corpus: the largest length left opens a sequence, a branch-and-bound over undominated
 fillings (larger items first, best-fit as the first incumbent, pruned by the waste still possible)
-completes it, and the pattern found is used as often as the histogram allows. Pieces are numbered
-per length by (task, order in the task) and look their place up in the plan. The plan has a few
-thousand patterns, far fewer than PLAN_ROWS.
+completes it, and the pattern found is used as often as the histogram allows, which uses some length
+up, so there are at most `capacity` patterns. Pieces are numbered per length by (task, order in the
+task) and look their place up in the plan.
+
+The search of one pattern ends after NODES nodes with the best filling found. The plan needs at least
+ceil(tokens / capacity) sequences, and `excess` tells by how many it misses that bound.
 
 Null texts are empty documents: one piece holding the end id. An empty table gives no pieces. Ties
 between equal lengths are dealt in scan order, frozen by a written table; repeated ids each give
@@ -17,6 +20,7 @@ their own pieces. Extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +36,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a task remembers; beyond it the memory is emptied.
 CACHE_WORDS = 800_000
-PLAN_ROWS = 2_000_000
+#: Nodes of the search for one filling.
+NODES = 4000
 
 
 TAIL = ".,!?;:"
@@ -117,20 +122,61 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
-def complete(counts: np.ndarray, capacity: int, largest: int, slack: int, nodes: int = 4000) -> list[int]:
+def best_fit(room: int, lengths: list[int], left: dict[int, int]) -> list[int]:
+    """The filling that takes the largest item that still fits, again and again."""
+    out: list[int] = []
+    for x in lengths:
+        times = min(left[x], room // x)
+        out += [x] * times
+        room -= x * times
+    return out
+
+
+def undominated(filling: list[int], room: int, lengths: list[int], left: dict[int, int]) -> list[int]:
+    """`filling` with items exchanged for larger unused ones that fit in the waste, until none does.
+
+    A filling in which one item can give way to a larger one is dominated by the one after the exchange.
+    """
+    used: dict[int, int] = {}
+    for x in filling:
+        used[x] = used.get(x, 0) + 1
+    waste = room - sum(filling)
+    ascending = lengths[::-1]
+    while waste:
+        best = None
+        for y in (0, *used):
+            k = bisect_right(ascending, y + waste) - 1
+            while k >= 0 and ascending[k] > y and used.get(ascending[k], 0) >= left[ascending[k]]:
+                k -= 1
+            if k >= 0 and ascending[k] > y and (best is None or ascending[k] - y > best[1] - best[0]):
+                best = (y, ascending[k])
+        if best is None:
+            break
+        y, x = best
+        used[x] = used.get(x, 0) + 1
+        if y:
+            used[y] -= 1
+            if not used[y]:
+                del used[y]
+        waste -= x - y
+    return sorted((x for x, n in used.items() for _ in range(n)), reverse=True)
+
+
+def complete(counts: np.ndarray, capacity: int, largest: int, slack: int, nodes: int = NODES) -> list[int]:
     """The best filling found around one item of length `largest`, largest items first.
 
-    Branch and bound: each node takes the largest item that still fits or skips that length. A
-    filling is dominated by one that has a larger single item in place of smaller ones, so larger
-    items are tried first and equal sums keep the first found. A branch is cut when even using all
-    that fits can't beat the incumbent. Stops at waste 0; after half of the nodes also at `slack`,
-    the waste that the remaining sequences can afford without needing one more than the bound.
+    Branch and bound: the best-fit filling, freed of dominating exchanges, is the first incumbent.
+    Each node takes the largest item that still fits or skips that length; a branch is cut when even
+    using all that fits can't beat the incumbent. A filling that does is freed of dominating exchanges
+    before it becomes the incumbent. Stops at waste 0; after half of the nodes also at `slack`, the
+    waste that the remaining sequences can afford without needing one more than the bound.
     """
     room = capacity - largest
     lengths = [int(x) for x in np.flatnonzero(counts[: room + 1])[::-1]]
     left = {x: int(counts[x]) - (x == largest) for x in lengths}
-    best: list[int] = []
-    best_sum, budget = 0, nodes
+    lengths = [x for x in lengths if left[x]]
+    best = undominated(best_fit(room, lengths, left), room, lengths, left)
+    best_sum, budget = sum(best), nodes
     # stack of (index into lengths, chosen, sum)
     stack: list[tuple[int, tuple[int, ...], int]] = [(0, (), 0)]
     descending = -np.array(lengths)
@@ -141,7 +187,8 @@ def complete(counts: np.ndarray, capacity: int, largest: int, slack: int, nodes:
         budget -= 1
         i, chosen, total = stack.pop()
         if total > best_sum:
-            best, best_sum = list(chosen), total
+            best = undominated(list(chosen), room, lengths, left)
+            best_sum = sum(best)
         free = room - total
         if i < len(lengths) and lengths[i] > free:
             i = int(np.searchsorted(descending, -free))
@@ -155,6 +202,12 @@ def complete(counts: np.ndarray, capacity: int, largest: int, slack: int, nodes:
     return best
 
 
+def excess(patterns: list[tuple[list[int], int]], capacity: int = CAPACITY) -> int:
+    """By how many sequences a plan misses the bound of its total length."""
+    total = sum(sum(filling) * times for filling, times in patterns)
+    return sum(times for _, times in patterns) - -(-total // capacity)
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """Patterns (lengths, times) that use up the histogram."""
     counts = np.zeros(capacity + 1, dtype=np.int64)
@@ -194,8 +247,6 @@ def lookup(patterns: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
                 rows.append((x, ranks.get(x, 0), first, s))
                 ranks[x] = ranks.get(x, 0) + times
         first += times
-    if len(rows) > PLAN_ROWS:
-        raise ValueError(f"a plan of {len(rows)} rows")
     rows.sort()
     length, rank, seq, offset = (np.array(c, dtype=np.int64) for c in (zip(*rows, strict=True) if rows else ((),) * 4))
     return {"key": (length << 44) | rank, "length": length, "rank": rank, "seq": seq, "offset": offset}

@@ -4,10 +4,10 @@ A rule is a host and a path. It fits a URL when the URL's host is the rule's hos
 it and the URL's path starts with the rule's path; of the rules that fit, the longest expression
 (host and path together, then the longer host, then allow before block) decides.
 
-Each URL is expanded into host suffixes (at label borders) times path prefixes (of the lengths that
-occur among the rules), each expression is hashed with SHA-256, URL and rule meet by equality of the
+Each URL is expanded into host suffixes (at label borders, of the label counts that occur among the
+rules) times path prefixes (of the lengths that occur among them), each expression is hashed with SHA-256, URL and rule meet by equality of the
 first PREFIX hex digits, and the full digests and the expression itself are compared afterwards.
-The driver reads only the distinct path lengths of the rules.
+The driver reads only the distinct label counts and path lengths of the rules.
 
 A null URL or one without `://` has an empty host and path and fits no rule; it gets the default
 verdict, as does every URL that no rule fits. Rules with a null or empty host are ignored, a null
@@ -51,7 +51,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     lengths = sorted(r.n for r in known.select(F.length("rule_path").alias("n")).distinct().collect())
     host, path = split_url(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    suffixes = F.expr(r"transform(sequence(1, size(split(host, '\\.'))), k -> substring_index(host, '.', -k))")
+    labels = sorted(r.n for r in known.select(F.size(F.split("rule_host", r"\.")).alias("n")).distinct().collect())
+    counts = F.filter(F.array(*[F.lit(n) for n in labels]).cast("array<int>"), lambda n: n <= F.size(F.split("host", r"\.")))
+    suffixes = F.transform(counts, lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
     prefixes = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
     expanded = (
         urls.where("host <> ''")

@@ -185,7 +185,11 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, learnable: str | N
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_000)) / 1_000_000
     picked = rows.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0)))
-    return [(r.doc_id, r.text, r.lang) for r in picked.select("doc_id", "text", "lang").limit(2 * per_language * len(counts)).collect()]
+    # of a long text, the executors cut out the segments to learn from
+    size = F.char_length("text")
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda i: F.substring(F.col("text"), (i * (size - SEGMENT) / (SEGMENTS - 1)).cast("int") + 1, F.lit(SEGMENT)))
+    text = F.when(size <= SEGMENT * SEGMENTS, F.col("text")).otherwise(F.array_join(pieces, " "))
+    return [(r.doc_id, r.text, r.lang) for r in picked.select("doc_id", text.alias("text"), "lang").limit(2 * per_language * len(counts)).collect()]
 
 
 LEARNABLE = f"crc32(cast(doc_id AS string)) % {FOLDS} <> 0"

@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import discard, small_batches, table, written
+from codeatlas.llm.common import discard, fresh, numbered, small_batches, table, written
 from codeatlas.llm.components import connected_components
 from codeatlas.llm.textkernel import mix, shingle_sets
 
@@ -632,5 +632,20 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 3, percent:
     return rest.unionByName(near.where("is_hot").select("doc_id", "n_shingles", F.col("hot").alias("component_id")))
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of each component, the row of the smallest doc_id (a null one last), with all its columns.
+
+    Rows are told apart by a number of their own, so repeated ids are no trouble, and of fully
+    repeated rows one stays. Rows without words are nobody's copies and all stay.
+    """
+    uid = fresh(docs.columns, "uid")
+    rows = numbered(spark, docs, "documents", uid)
+    groups = similar_documents(spark, rows.select(F.col(uid).alias("doc_id"), "text"), n, percent)
+    placed = groups.join(rows.select(F.col(uid).alias("doc_id"), F.col("doc_id").alias("own_id")), "doc_id")
+    order = F.struct(F.col("own_id").isNull().alias("unnamed"), "own_id", "doc_id")
+    stay = placed.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias(uid))
+    return rows.join(stay, uid, "left_semi").select(docs.columns)
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(spark, table(spark, sf_dir, "documents"))

@@ -34,10 +34,6 @@ def fts_safe(q: str) -> bool:
     return all(ch.isalnum() or ch in "_ " for ch in q)
 
 
-def escape_like(q: str) -> str:
-    return q.replace("%", r"\%").replace("_", r"\_")
-
-
 def tokens(c: Column) -> Column:
     """' tok tok tok': lower-case words; everything but letters and digits separates."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " ")))
@@ -105,21 +101,6 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def signature_of(text: Column) -> Column:
-    """Declaration text up to the first brace, white space collapsed."""
-    return collapse(F.substring_index(text, "{", 1))
-
-
-def truncate(s: str, limit: int) -> str:
-    """At most `limit` bytes, cut at a character, with an ellipsis."""
-    raw = s.encode()
-    return s if len(raw) <= limit else raw[:limit].decode(errors="ignore") + "..."
-
-
-def pluralise(n: int, word: str) -> str:
-    return f"{n} {word}" if n == 1 else f"{n} {word}s"
-
-
 def fnv1a(text: str) -> str:
     """64-bit FNV-1a as lower-case hexadecimal without padding."""
     h = 0xCBF29CE484222325

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,8 @@ from codeatlas.adapter import BASE, VIEWS
 #: Fixed value lists of the data model.
 SYMBOL_KINDS = ("function", "struct", "enum", "enum_variant", "trait", "impl", "use", "mod", "const", "static", "type_alias", "macro", "union", "interface", "class")
 VISIBILITIES = ("public", "pub(crate)", "restricted", "private")
+#: What `linked` fills in for each end of an edge.
+LINKED = ("name", "kind", "path", "line_start", "impl_type", "is_test", "repo")
 REF_KINDS, CONFIDENCES = ("call", "type_ref"), ("high", "low")
 
 
@@ -32,6 +34,8 @@ class CodeIndex:
     crate_deps: DataFrame
     dependencies: DataFrame
     docs: DataFrame
+    stored_nodes: DataFrame | None = None
+    stored_links: dict[str, DataFrame] = field(default_factory=dict)
 
     @property
     def spark(self) -> SparkSession:
@@ -40,6 +44,8 @@ class CodeIndex:
     @cached_property
     def nodes(self) -> DataFrame:
         """Symbols with path, crate and repository."""
+        if self.stored_nodes is not None:
+            return self.stored_nodes
         files = self.files.select(F.col("id").alias("file_id"), "path", "crate_id")
         crates = self.crates.select(F.col("id").alias("crate_id"), "repo")
         return self.symbols.join(files, "file_id").join(crates, "crate_id")
@@ -48,6 +54,12 @@ class CodeIndex:
     def edges(self) -> DataFrame:
         return self.refs.select(F.col("source_symbol_id").alias("src"), F.col("target_symbol_id").alias("dst"), F.col("kind").alias("ref_kind"), "confidence", "ref_line")
 
+    def linked(self, side: str) -> DataFrame:
+        """Edges with both ends filled in (src_name, dst_path, ...), for questions about ids of one side."""
+        if side in self.stored_links:
+            return self.stored_links[side]
+        return self.edges.join(self.ends("src", *LINKED), "src").join(self.ends("dst", *LINKED), "dst")
+
     def ends(self, side: str, *columns: str) -> DataFrame:
         """Nodes renamed for one end of an edge: `src_name`, `src_path`, ... joined by `src`."""
         return self.nodes.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])

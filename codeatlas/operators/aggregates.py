@@ -26,7 +26,7 @@ def refs_by_confidence(ix: CodeIndex) -> DataFrame:
 
 
 def noisy_targets(ix: CodeIndex, limit: int = 10) -> DataFrame:
-    return ix.edges.where("confidence = 'low'").join(ix.ends("dst", "name"), "dst").groupBy(F.col("dst_name").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(limit)
+    return ix.linked("dst").where("confidence = 'low'").groupBy(F.col("dst_name").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(limit)
 
 
 def truncated_signatures(ix: CodeIndex) -> DataFrame:
@@ -34,9 +34,9 @@ def truncated_signatures(ix: CodeIndex) -> DataFrame:
 
 
 def most_referenced(ix: CodeIndex, limit: int = 10, prefix: str = "", confidence: str | None = None, exclude_tests: bool = False) -> DataFrame:
-    edges = ix.edges.where(F.col("confidence") == confidence) if confidence else ix.edges
-    if exclude_tests:
-        edges = edges.join(ix.symbols.where("is_test = 0").select(F.col("id").alias("src")), "src", "left_semi")
+    edges = ix.linked("dst")
+    edges = edges.where(F.col("confidence") == confidence) if confidence else edges
+    edges = edges.where("src_is_test = 0") if exclude_tests else edges
     per = edges.groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("n"))
     rows = per.join(ix.nodes.where(under(F.col("path"), prefix)).select("id", "name", "path", "impl_type"), "id")
     return rows.orderBy(F.desc("n"), "name", "path", "id").limit(limit).select("id", "name", "path", "impl_type", "n")
@@ -56,7 +56,7 @@ def symbols_by_kind(ix: CodeIndex, prefix: str = "") -> DataFrame:
 
 def in_degree(ix: CodeIndex) -> DataFrame:
     """Distinct sure sources of each (name, path)."""
-    return ix.edges.where("confidence = 'high'").join(ix.ends("dst", "name", "path"), "dst").groupBy(F.col("dst_name").alias("name"), F.col("dst_path").alias("path")).agg(F.countDistinct("src").alias("n"))
+    return ix.linked("dst").where("confidence = 'high'").groupBy(F.col("dst_name").alias("name"), F.col("dst_path").alias("path")).agg(F.countDistinct("src").alias("n"))
 
 
 def doc_coverage(ix: CodeIndex, prefix: str = "", include_private: bool = False) -> DataFrame:
@@ -81,7 +81,7 @@ def hotspots(ix: CodeIndex, limit: int = 10, prefix: str = "", exclude_tests: bo
 def boundary(ix: CodeIndex, prefix: str) -> DataFrame:
     """Per public symbol under a path: caller sites and files outside of it."""
     mine = ix.nodes.where(under(F.col("path"), prefix) & F.col("visibility").isin(*PUBLIC) & ~F.col("kind").isin("use", "mod", "impl")).select("id", "name", "path", "kind")
-    outside = ix.edges.join(ix.ends("src", "name", "path").where(~under(F.col("src_path"), prefix)), "src").select(F.col("dst").alias("id"), "src_name", "src_path")
+    outside = ix.linked("dst").where(under(F.col("dst_path"), prefix) & ~under(F.col("src_path"), prefix)).select(F.col("dst").alias("id"), "src_name", "src_path")
     per = mine.join(outside.distinct(), "id", "left").groupBy("id", "name", "path", "kind").agg(F.count("src_name").alias("sites"), F.countDistinct("src_path").alias("files"), F.slice(F.sort_array(F.collect_set("src_path")), 1, 3).alias("f"))
     return per.select("id", "name", "path", "kind", "sites", "files", F.array_join("f", ",").alias("first_files"), F.when(F.col("sites") > 0, "external").otherwise("internal").alias("use"))
 
@@ -94,10 +94,11 @@ def proportional_limit(rows: DataFrame, limit: int) -> DataFrame:
     files = sized.groupBy("path").agg(F.count("*").alias("size"))
     totals = files.agg(F.count("*").alias("n_files"), F.sum("size").alias("n_rows"))
     budget = files.join(F.broadcast(totals), F.lit(True))
-    order = W.partitionBy(F.lit(0)).orderBy("path")
     few = F.col("n_files") >= limit
+    # of more files than rows, the first ones by path get one row each
+    early = files.orderBy("path").limit(limit).select("path", F.lit(1).alias("early"))
     share = F.lit(1) + F.expr(f"(size - 1) * ({limit} - n_files) div greatest(n_rows - n_files, 1)")
-    budget = budget.select("path", F.when(F.lit(limit) >= F.col("n_rows"), F.col("size")).when(few, F.when(F.row_number().over(order) <= limit, 1).otherwise(0)).otherwise(F.least("size", share)).alias("budget"))
+    budget = budget.join(early, "path", "left").select("path", F.when(F.lit(limit) >= F.col("n_rows"), F.col("size")).when(few, F.coalesce("early", F.lit(0))).otherwise(F.least("size", share)).alias("budget"))
     return sized.join(budget, "path").where("rank <= budget").drop("rank", "budget")
 
 

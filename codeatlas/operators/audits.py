@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from codeatlas.functions.text import has, split_qualified, under, whole_word
 from codeatlas.index import CodeIndex
-from codeatlas.operators.graph import seeds, tested_ids
-from codeatlas.operators.joins import PUBLIC, implementations, unused
+from codeatlas.operators.graph import NOISY, related_tests, seeds, tested_ids
+from codeatlas.operators.joins import NOT_CALLABLE, calls_by_name, implementations, unused
+from codeatlas.plans.stage import meeting
 
 
 def _sections(parts: dict[str, DataFrame]) -> DataFrame:
@@ -22,9 +23,13 @@ def _sections(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def call_sites(ix: CodeIndex, name: str, impl_type: str | None = None, exclude_tests: bool = False) -> DataFrame:
-    target = seeds(ix, name, impl_type).select(F.col("id").alias("dst"))
-    hits = ix.edges.join(target, "dst").join(ix.ends("src", "name", "path", "line_start", "is_test"), "src")
-    hits = hits.where("src_is_test = 0") if exclude_tests else hits
+    sites = sites_of(ix, seeds(ix, name, impl_type).select("id"))
+    return sites.where("is_test = 0") if exclude_tests else sites
+
+
+def sites_of(ix: CodeIndex, ids: DataFrame) -> DataFrame:
+    """Where the symbols of (id) are referred to: name, path, line, is_test."""
+    hits = meeting(ix.linked("dst"), "dst", ids)
     return hits.select(F.col("src_name").alias("name"), F.col("src_path").alias("path"), F.coalesce("ref_line", "src_line_start").alias("line"), F.col("src_is_test").alias("is_test")).distinct()
 
 
@@ -86,7 +91,7 @@ def orphaned(ix: CodeIndex, prefix: str = "", kind: str | None = None) -> DataFr
 _CAPITAL = r"[A-Z][A-Za-z0-9_]*"
 
 
-def similar(ix: CodeIndex, symbol_id: int, limit: int = 10, noisy: tuple[str, ...] = ()) -> DataFrame:
+def similar(ix: CodeIndex, symbol_id: int, limit: int = 10, noisy: tuple[str, ...] = NOISY) -> DataFrame:
     """Functions scored by return type, receiver, parameter types and shared callees; score 2 at least."""
     me = ix.nodes.where(F.col("id") == symbol_id).first()
     if me is None:
@@ -105,28 +110,41 @@ def similar(ix: CodeIndex, symbol_id: int, limit: int = 10, noisy: tuple[str, ..
     elif "&self" in me.signature:
         score = score + F.when(F.contains("signature", F.lit("&self")), 1).otherwise(0)
     for w in types:
-        score = score + F.when(whole_word(F.regexp_extract("signature", r"\((.*)\)", 1), w), 1).otherwise(0)
-    calls = ix.edges.where("confidence = 'high'").join(ix.ends("dst", "name"), "dst").select("src", F.col("dst_name").alias("callee")).distinct()
-    calls = calls.where(~F.col("callee").isin(*noisy)) if noisy else calls
-    mine = calls.where(F.col("src") == symbol_id).select("callee")
-    shared = calls.where(F.col("src") != symbol_id).join(mine, "callee", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("shared"))
+        score = score + F.when(F.contains(F.regexp_extract("signature", r"\((.*)\)", 1), F.lit(w)), 1).otherwise(0)
+    # callees go by name, as the candidates are looked up by name
+    mine = calls_by_name(ix, me.name, up=False).select("name").distinct()
+    mine = mine.where(~F.col("name").isin(*noisy)) if noisy else mine
+    ours = ix.linked("src").where("ref_kind = 'call'").where(~F.col("src_kind").isin(*NOT_CALLABLE) & ~F.col("dst_kind").isin(*NOT_CALLABLE))
+    ours = ours.join(rows.select(F.col("name").alias("src_name")).distinct(), "src_name", "left_semi").join(mine.withColumnRenamed("name", "dst_name"), "dst_name", "left_semi")
+    shared = ours.groupBy(F.col("src_name").alias("name")).agg(F.countDistinct("dst_name").alias("shared"))
     total = score + F.coalesce("shared", F.lit(0))
-    return rows.join(shared, "id", "left").withColumn("score", total.cast("long")).where("score >= 2").orderBy(F.desc("score"), "name", "path", "id").limit(limit).select("id", "name", "path", "score")
+    return rows.join(shared, "name", "left").withColumn("score", total.cast("long")).where("score >= 2").orderBy(F.desc("score"), "name", "path", "id").limit(limit).select("id", "name", "path", "score")
 
 
-def context(ix: CodeIndex, q: str) -> DataFrame:
-    """Callers (production first, at most 30), callees, traits, tests and relatives of a symbol, by section."""
+def context(ix: CodeIndex, q: str, path: str | None = None) -> DataFrame:
+    """Callers (production first, at most 30), callees, traits, tests and relatives of a symbol, perhaps of one file, by section."""
     impl, name = split_qualified(q)
-    mine = seeds(ix, name, impl).select("id", "path", "impl_type")
+    found = seeds(ix, name, impl)
+    mine = (found if path is None else found.where(F.col("path") == path)).select("id", "path", "impl_type")
     ids = mine.select("id")
-    down = ix.edges.where("confidence = 'high'").join(ids.withColumnRenamed("id", "src"), "src").join(ix.ends("dst", "name", "path", "line_start"), "dst")
+    down = meeting(ix.linked("src"), "src", ids).where("confidence = 'high'")
     callees = down.select(F.col("dst_name").alias("name"), F.col("dst_path").alias("path"), F.col("dst_line_start").alias("line")).distinct()
-    up = call_sites(ix, name, impl).orderBy("is_test", "path", "line", "name").limit(30)
+    up = sites_of(ix, ids).orderBy("is_test", "path", "line", "name").limit(30)
     types = mine.where("impl_type IS NOT NULL").select(F.col("impl_type").alias("type_name")).distinct()
     traits = ix.trait_impls.join(types, "type_name", "left_semi").join(ix.files.select(F.col("id").alias("file_id"), "path"), "file_id").select(F.col("trait_name").alias("name"), "path", F.col("line_start").alias("line"))
     there = mine.select("path", F.coalesce("impl_type", F.lit("")).alias("t")).distinct()
     related = ix.nodes.withColumn("t", F.coalesce("impl_type", F.lit(""))).join(there, ["path", "t"], "left_semi").join(ids, "id", "left_anti").orderBy("path", "line_start", "id").limit(10)
-    return _sections({"caller": up, "callee": callees, "trait": traits, "related": related.select("name", "path", F.col("line_start").alias("line"))})
+    tests = related_tests(ix, ids.select(F.lit(0).alias("seed"), "id")).select("name", "path", F.col("line_start").alias("line"))
+    return _sections({"caller": up, "callee": callees, "trait": traits, "related": related.select("name", "path", F.col("line_start").alias("line")), "test": tests})
+
+
+def batch_context(ix: CodeIndex, names: list[str], path: str | None = None) -> DataFrame:
+    """`context` of several symbols: asked, section, name, path, line."""
+    out = None
+    for q in names:
+        rows = context(ix, q, path).select(F.lit(q).alias("asked"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def freshness(metadata: DataFrame, commits: DataFrame, version: str) -> DataFrame:
@@ -141,5 +159,3 @@ def repositories(ix: CodeIndex) -> DataFrame:
     return per
 
 
-def public_api(ix: CodeIndex, prefix: str) -> DataFrame:
-    return ix.nodes.where(under(F.col("path"), prefix) & F.col("visibility").isin(*PUBLIC))

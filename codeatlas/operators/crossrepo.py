@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,7 +43,8 @@ def path_dependencies(deps: DataFrame, registry: DataFrame) -> DataFrame:
 
 def bridges(ix: CodeIndex, start: str, to: str, here: int, there: int) -> DataFrame:
     """Direct callees of `start` here that exist by name there, given that `to` does."""
-    own = CodeIndex(ix.files, ix.symbols, ix.refs, ix.trait_impls, ix.crates.where(F.col("repo") == here), ix.crate_deps, ix.dependencies, ix.docs)
+    both_here = (F.col("src_repo") == here) & (F.col("dst_repo") == here)
+    own = replace(ix, stored_nodes=ix.nodes.where(F.col("repo") == here), stored_links={"src": ix.linked("src").where(both_here)})
     other = ix.nodes.where(F.col("repo") == there).select("name").distinct()
     goal = other.where(F.col("name") == split_qualified(to)[1])
     return direct_callees(own, start).join(other, "name", "left_semi").join(goal.select(F.lit(True).alias("there")).limit(1), F.lit(True)).select("name")

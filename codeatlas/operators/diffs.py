@@ -28,8 +28,12 @@ def hunk_ranges(diffs: DataFrame) -> DataFrame:
 
 
 def hunk_lines(diffs: DataFrame, suffix: str = ".rs", most: int = 16 << 20) -> DataFrame:
-    """(id, path, hunk, seq, line_no, text, is_added): added and context lines with their new numbers."""
-    rows = text_lines(diffs.where(F.octet_length("text") <= most))
+    """(id, path, hunk, seq, line_no, text, is_added): added and context lines with their new numbers.
+
+    A diff of more than `most` bytes is an error, never an empty result.
+    """
+    sized = F.when(F.octet_length("text") > most, F.raise_error(F.concat(F.lit("diff "), F.col("id").cast("string"), F.lit(" is too large")))).otherwise(F.col("text"))
+    rows = text_lines(diffs.select("id", sized.cast("string").alias("text")))
     named = F.when(F.startswith("line", F.lit("+++ b/")), F.expr("substr(line, 7)")).when(F.startswith("line", F.lit("+++ ")), F.lit(""))
     head = r"^@@ .*?\+(\d+)"
     rows = rows.withColumns({"path": _fill(named), "is_head": F.col("line").rlike(head)})
@@ -62,9 +66,12 @@ def critique(diffs: DataFrame) -> DataFrame:
 
 
 def gate_scan(diffs: DataFrame) -> DataFrame:
-    """Per diff: new public items, unwrap( calls outside tests, unsafe uses, touched files."""
+    """Per diff: touched files and Rust files, new public items, unwrap( calls outside tests, unsafe uses; all diffs have a row."""
+    rows = text_lines(diffs)
+    named = F.when(F.startswith("line", F.lit("+++ b/")), F.expr("substr(line, 7)"))
+    touched = rows.select("id", named.alias("path")).where("path IS NOT NULL").groupBy("id").agg(F.countDistinct("path").alias("files"), F.countDistinct(F.when(F.endswith("path", F.lit(".rs")), F.col("path"))).alias("rust_files"))
     lines = hunk_lines(diffs)
-    code = F.regexp_replace(F.regexp_replace("text", r'"(?:[^"\\]|\\.)*"', '""'), "//.*", "")
+    code = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"/\*.*?\*/", " "), r'"(?:[^"\\]|\\.)*"', '""'), "//.*", "")
     lines = lines.withColumn("code", code)
     hunk = W.partitionBy("id", "path", "hunk").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     depth = F.sum(F.length("code") - F.length(F.replace(F.col("code"), F.lit("{"), F.lit(""))) - F.length("code") + F.length(F.replace(F.col("code"), F.lit("}"), F.lit("")))).over(hunk)
@@ -73,16 +80,18 @@ def gate_scan(diffs: DataFrame) -> DataFrame:
     entered = F.last(F.when(opens, F.col("depth")), ignorenulls=True).over(hunk)
     in_test = (F.coalesce(F.col("depth") >= entered, F.lit(False))) | F.col("path").rlike(r"(^|/)tests/")
     added = lines.withColumn("in_test", in_test).where("is_added")
-    return added.groupBy("id").agg(
+    counted = added.groupBy("id").agg(
         F.count_if(F.col("code").rlike(r"^\s*pub (fn|struct|enum|trait|const|type|mod|use) ") & ~F.col("in_test")).alias("public_items"),
         F.count_if(F.contains("code", F.lit("unwrap(")) & ~F.col("in_test")).alias("unwraps"),
         F.count_if(F.col("code").rlike(r"\bunsafe\b")).alias("unsafe_uses"),
-        F.countDistinct("path").alias("files"),
     )
+    out = diffs.select("id", (F.trim(F.coalesce("text", F.lit(""))) == "").alias("empty")).join(touched, "id", "left").join(counted, "id", "left")
+    return out.fillna(0, ["files", "rust_files", "public_items", "unwraps", "unsafe_uses"])
 
 
+#: What says that there is no evidence, and what claims performance in a task or plan.
 NO_EVIDENCE = ("", "none", "n/a", "na", "not run", "not applicable")
-PERFORMANCE = r"\b(faster|speed|performance|latency|throughput|optimi[sz]e[sd]?|benchmark)\b"
+PERFORMANCE = ("performance", "speed", "faster", "latency", "throughput", "optimize", "optimise", "benchmark")
 
 
 def has_evidence(column: str):  # noqa: ANN201
@@ -90,21 +99,26 @@ def has_evidence(column: str):  # noqa: ANN201
 
 
 def quality_gate(requests: DataFrame, scans: DataFrame) -> DataFrame:
-    """(id, verdict, reasons) of requests (id, plan, docs_verified, impact_checked, tests_run, performance_evidence, safety_notes)."""
-    rows = requests.join(scans, "id", "left").fillna(0, ["public_items", "unwraps", "unsafe_uses", "files"])
+    """(id, verdict, reasons) of requests (id, task, plan, docs_verified, impact_checked, tests_run, performance_evidence, safety_notes).
+
+    Rust diffs need a plan, verified docs and tests; public edits without impact and empty diffs only warn.
+    """
+    rows = requests.join(scans, "id", "left").fillna(0, ["files", "rust_files", "public_items", "unwraps", "unsafe_uses"]).fillna(True, ["empty"])
+    rust = F.col("rust_files") > 0
+    claim = F.lower(F.concat_ws(" ", F.coalesce("task", F.lit("")), F.coalesce("plan", F.lit(""))))
+    claims = F.exists(F.array(*[F.lit(w) for w in PERFORMANCE]), lambda w: F.contains(claim, w))
     blocked = F.array_compact(
         F.array(
-            F.when((F.col("files") > 0) & ~has_evidence("tests_run"), "no tests run"),
+            F.when(rust & ~has_evidence("plan"), "no plan"),
+            F.when(rust & ~has_evidence("docs_verified"), "no docs verified"),
+            F.when(rust & ~has_evidence("tests_run"), "no tests run"),
+            F.when(F.col("unwraps") > 0, "unwrap outside tests"),
             F.when((F.col("unsafe_uses") > 0) & ~has_evidence("safety_notes"), "unsafe without safety notes"),
-            F.when((F.col("public_items") > 0) & ~has_evidence("impact_checked"), "public items without impact check"),
+            F.when(claims & ~has_evidence("performance_evidence"), "performance claim without evidence"),
         )
     )
     warned = F.array_compact(
-        F.array(
-            F.when(F.col("unwraps") > 0, "unwrap outside tests"),
-            F.when(~has_evidence("docs_verified"), "no docs verified"),
-            F.when(F.lower(F.coalesce("plan", F.lit(""))).rlike(PERFORMANCE) & ~has_evidence("performance_evidence"), "performance claim without evidence"),
-        )
+        F.array(F.when((F.col("public_items") > 0) & ~has_evidence("impact_checked"), "public items without impact check"), F.when(F.col("empty"), "no changes"))
     )
     verdict = F.when(F.size(blocked) > 0, "BLOCKED").when(F.size(warned) > 0, "WARN").otherwise("PASS")
     return rows.select("id", verdict.alias("verdict"), F.array_join(F.concat(blocked, warned), "; ").alias("reasons"))
@@ -139,7 +153,7 @@ def log_entries(logs: DataFrame) -> DataFrame:
 def log_diffs(logs: DataFrame, most: int = 60) -> DataFrame:
     """(id, commit, seq, line): changed and hunk lines of each commit of a log with diffs, at most `most` each."""
     rows = text_lines(logs).withColumn("commit", _fill(F.when(F.col("line").rlike("^commit [0-9a-f]{7,40}"), F.expr("substr(line, 8)"))))
-    kept = rows.where("commit IS NOT NULL" ).where(F.col("line").rlike(r"^(\+(?!\+\+)|-(?!--)|@@)"))
+    kept = rows.where("commit IS NOT NULL" ).where(F.col("line").rlike(r"^(\+|-|@@)"))
     return kept.withColumn("seq", F.row_number().over(W.partitionBy("id", "commit").orderBy("pos"))).where(F.col("seq") <= most).select("id", "commit", "seq", "line")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from codeatlas.functions.text import has, is_entry_point, matches_signature, split_qualified, under
 from codeatlas.index import CodeIndex
+from codeatlas.plans.stage import meeting
 
 SYMBOL = ("id", "name", "kind", "visibility", "path", "line_start", "line_end", "signature", "impl_type")
 NOT_CALLABLE = ("const", "static", "enum_variant")
@@ -35,17 +36,17 @@ def by_kind(rows: DataFrame, kind: str | None) -> DataFrame:
 
 def callees(ix: CodeIndex, name: str, path: str, exclude_tests: bool = False) -> DataFrame:
     """What (name, path) refers to with high confidence."""
-    source = ix.nodes.where((F.col("name") == name) & (F.col("path") == path)).select(F.col("id").alias("src"))
-    out = ix.edges.where("confidence = 'high'").join(source, "src").join(ix.ends("dst", "name", "kind", "path", "line_start", "impl_type", "signature", "is_test"), "dst")
+    source = ix.nodes.where((F.col("name") == name) & (F.col("path") == path)).select("id")
+    out = meeting(ix.linked("src"), "src", source).where("confidence = 'high'")
     if exclude_tests:
         out = out.where("dst_is_test = 0")
     return out.select("dst_name", "dst_kind", "dst_path", "dst_line_start", "dst_impl_type", "ref_kind", "ref_line").distinct()
 
 
 def callers(ix: CodeIndex, name: str, path: str, exclude_tests: bool = False, confidence: str | None = None) -> DataFrame:
-    target = ix.nodes.where((F.col("name") == name) & (F.col("path") == path)).select(F.col("id").alias("dst"))
-    edges = ix.edges if confidence is None else ix.edges.where(F.col("confidence") == confidence)
-    out = edges.join(target, "dst").join(ix.ends("src", "name", "kind", "path", "line_start", "impl_type", "is_test"), "src")
+    target = ix.nodes.where((F.col("name") == name) & (F.col("path") == path)).select("id")
+    out = meeting(ix.linked("dst"), "dst", target)
+    out = out if confidence is None else out.where(F.col("confidence") == confidence)
     if exclude_tests:
         out = out.where("src_is_test = 0")
     return out.select("src_name", "src_kind", "src_path", "src_line_start", "src_impl_type", "ref_kind", "confidence", "ref_line").distinct()
@@ -54,11 +55,10 @@ def callers(ix: CodeIndex, name: str, path: str, exclude_tests: bool = False, co
 def calls_by_name(ix: CodeIndex, name: str, up: bool, confidence: str | None = None, exclude_tests: bool = False) -> DataFrame:
     """Names and paths on the other end of `call` edges of a name."""
     here, there = ("dst", "src") if up else ("src", "dst")
-    edges = ix.edges.where("ref_kind = 'call'")
+    mine = ix.nodes.where((F.col("name") == name) & ~F.col("kind").isin(*NOT_CALLABLE)).select("id")
+    out = meeting(ix.linked(here), here, mine).where("ref_kind = 'call'").where(~F.col(f"{there}_kind").isin(*NOT_CALLABLE))
     if confidence:
-        edges = edges.where(F.col("confidence") == confidence)
-    mine = ix.nodes.where((F.col("name") == name) & ~F.col("kind").isin(*NOT_CALLABLE)).select(F.col("id").alias(here))
-    out = edges.join(mine, here).join(ix.ends(there, "name", "path", "kind", "is_test"), there).where(~F.col(f"{there}_kind").isin(*NOT_CALLABLE))
+        out = out.where(F.col("confidence") == confidence)
     if exclude_tests:
         out = out.where(f"{there}_is_test = 0")
     return out.select(F.col(f"{there}_name").alias("name"), F.col(f"{there}_path").alias("path")).distinct()
@@ -67,8 +67,8 @@ def calls_by_name(ix: CodeIndex, name: str, up: bool, confidence: str | None = N
 def direct_callees(ix: CodeIndex, qualified: str, limit: int = 100) -> DataFrame:
     impl, name = split_qualified(qualified)
     mine = ix.nodes.where(F.col("name") == name)
-    mine = (mine if impl is None else mine.where(F.col("impl_type") == impl)).select(F.col("id").alias("src"))
-    return ix.edges.where("ref_kind = 'call' AND confidence = 'high'").join(mine, "src").join(ix.ends("dst", "name"), "dst").select(F.col("dst_name").alias("name")).distinct().orderBy("name").limit(limit)
+    mine = (mine if impl is None else mine.where(F.col("impl_type") == impl)).select("id")
+    return meeting(ix.linked("src"), "src", mine).where("ref_kind = 'call' AND confidence = 'high'").select(F.col("dst_name").alias("name")).distinct().orderBy("name").limit(limit)
 
 
 def file_symbol_counts(ix: CodeIndex, prefix: str) -> DataFrame:
@@ -95,8 +95,10 @@ def unused(ix: CodeIndex, prefix: str = "", kind: str | None = None, include_pri
 def dangling_refs(ix: CodeIndex) -> DataFrame:
     """Edges whose ends don't both exist."""
     ids = ix.symbols.select("id")
-    good = ix.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return ix.edges.exceptAll(good.select(*ix.edges.columns))
+    columns = ix.edges.columns
+    no_source = ix.edges.join(ids.toDF("src"), "src", "left_anti").select(columns)
+    no_target = ix.edges.join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_anti").select(columns)
+    return no_source.unionByName(no_target)
 
 
 def docs_of(ix: CodeIndex, dependency: str, module: str | None = None) -> DataFrame:
@@ -135,8 +137,8 @@ def implementations(ix: CodeIndex, trait_name: str | None = None, type_name: str
 def cross_refs(ix: CodeIndex, name: str, primary: int, impl_type: str | None = None, limit: int = 50) -> DataFrame:
     """Sure references to a name in repositories other than the primary one."""
     target = ix.nodes.where((F.col("name") == name) & (F.col("repo") != primary))
-    target = (target if impl_type is None else target.where(F.col("impl_type") == impl_type)).select(F.col("id").alias("dst"))
-    hits = ix.edges.where("confidence = 'high'").join(target, "dst").join(ix.ends("src", "name", "path", "line_start", "repo"), "src")
+    target = (target if impl_type is None else target.where(F.col("impl_type") == impl_type)).select("id")
+    hits = meeting(ix.linked("dst"), "dst", target).where("confidence = 'high'")
     return hits.select("src_name", "src_path", "src_line_start", "src_repo", "ref_kind").distinct().orderBy("src_path", "src_line_start", "src_name", "ref_kind").limit(limit)
 
 

@@ -25,7 +25,7 @@ def score_rules(rules: DataFrame, q: str) -> DataFrame:
     """(pos, category, triggers, summary): terms in category 5, each trigger 10, summary 2; the whole query 20 and 30."""
     whole = " ".join(terms(q))
     score = _per_term(q, {"category": 5, "summary": 2}, {"triggers": 10})
-    score = score + F.when(F.lower("category") == whole, 20).otherwise(0) + F.size(F.filter("triggers", lambda x: F.lower(x) == whole)) * 30
+    score = score + F.when(F.lower(F.coalesce("category", F.lit(""))) == whole, 20).otherwise(0) + F.size(F.filter(F.coalesce("triggers", F.array().cast("array<string>")), lambda x: F.lower(x) == whole)) * 30
     return rules.withColumn("score", score.cast("long")).where("score > 0")
 
 
@@ -36,12 +36,15 @@ def adjust_style(scored: DataFrame, overrides: DataFrame) -> DataFrame:
     return joined.withColumn("score", changed).where("score > 0")
 
 
-def token_estimate(columns: list[str], project: Column | None = None) -> Column:
+def token_estimate(columns: list[str], project: Column | None = None, note: str | None = None) -> Column:
+    """A quarter of the bytes of the columns and of what is written around them, rounded up."""
     size = F.lit(88)
     for c in columns:
         size = size + F.octet_length(F.coalesce(c, F.lit("")))
     if project is not None:
         size = size + F.when(project, 28 + F.octet_length("id")).otherwise(0)
+    if note is not None:
+        size = size + F.coalesce(17 + F.octet_length(note), F.lit(0))
     return F.floor((size + 3) / 4).cast("long")
 
 
@@ -58,7 +61,7 @@ def within_budget(scored: DataFrame, cost: Column, budget: int) -> DataFrame:
 def score_examples(rows: DataFrame, q: str) -> DataFrame:
     whole = " ".join(terms(q))
     score = _per_term(q, {"category": 5, "description": 2}, {"triggers": 10})
-    score = score + F.when(F.lower("category") == whole, 20).otherwise(0) + F.size(F.filter("triggers", lambda x: F.lower(x) == whole)) * 30
+    score = score + F.when(F.lower(F.coalesce("category", F.lit(""))) == whole, 20).otherwise(0) + F.size(F.filter(F.coalesce("triggers", F.array().cast("array<string>")), lambda x: F.lower(x) == whole)) * 30
     return rows.withColumn("score", score.cast("long")).where("score > 0")
 
 

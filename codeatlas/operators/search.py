@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from codeatlas.functions.text import ascii_fold, first_line_with, fold, fts_safe, has, phrase_prefix, qualified, split_qualified, string_literal_with, under
 from codeatlas.index import CodeIndex
-from codeatlas.operators.aggregates import in_degree
 from codeatlas.operators.joins import PUBLIC, by_kind, by_path, by_signature, by_text
+from codeatlas.plans.stage import cut, meeting
 
 ORDER = ("name", "path", "line_start", "id")
 COLUMNS = ("id", "name", "kind", "path", "line_start", "signature", "impl_type")
@@ -74,8 +74,10 @@ def resolve(ix: CodeIndex, q: str) -> DataFrame:
 def ranked(ix: CodeIndex, rows: DataFrame, limit: int = 50) -> DataFrame:
     """The first min(4 * limit, 200) rows, by in-degree and name, cut at `limit`."""
     limit = max(limit, 1)
-    early = rows.orderBy(*ORDER).limit(min(4 * limit, 200))
-    degree = in_degree(ix).withColumnRenamed("n", "refs")
+    early = cut(rows.orderBy(*ORDER).limit(min(4 * limit, 200)))
+    # only the few early rows' references are counted: those of all symbols of their names and paths
+    names = ix.nodes.join(F.broadcast(early.select("name", "path").distinct()), ["name", "path"], "left_semi").select("id")
+    degree = meeting(ix.linked("dst"), "dst", names).where("confidence = 'high'").groupBy(F.col("dst_name").alias("name"), F.col("dst_path").alias("path")).agg(F.countDistinct("src").alias("refs"))
     return early.join(degree, ["name", "path"], "left").withColumn("refs", F.coalesce("refs", F.lit(0))).orderBy(F.desc("refs"), *ORDER).limit(limit)
 
 
@@ -139,5 +141,8 @@ def topic_sections(docs: DataFrame, topic: str, before: int = 2, after: int = 4)
     return spans.join(docs.select("id", "content"), "id").select("id", "section", "first", F.least("last", F.size(F.split("content", "\n")) - 1).alias("last"), text.alias("text"))
 
 
-def display_name(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("qualified", qualified(F.col("impl_type"), F.col("name")))
+def did_you_mean(ix: CodeIndex, q: str, limit: int = 3) -> DataFrame:
+    """Up to `limit` distinct qualified names: of the symbols that `resolve` finds, else the nearest by edit distance."""
+    name = qualified(F.col("impl_type"), F.col("name"))
+    found = resolve(ix, q).groupBy(name.alias("suggestion")).agg(F.min(F.struct(*ORDER)).alias("first")).orderBy("first").limit(limit).select("suggestion")
+    return found if not found.isEmpty() else suggest(ix, q, limit).select(name.alias("suggestion"))

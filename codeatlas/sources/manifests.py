@@ -81,6 +81,20 @@ def tsconfig(text: str) -> dict:
     return {"baseUrl": options.get("baseUrl", "."), "paths": options.get("paths", {})}
 
 
+def npm_members(package: str, folders: list[str]) -> list[str]:
+    """Which folders are workspace members of a package.json: patterns of one level, `dir/*` or `dir`."""
+    spaces = json.loads(package).get("workspaces", [])
+    patterns = spaces.get("packages", []) if isinstance(spaces, dict) else spaces
+    shapes = [re.compile("[^/]+".join(map(re.escape, p.removeprefix("./").rstrip("/").split("*")))) for p in patterns]
+    return [f for f in sorted(folders) if any(x.fullmatch(f) for x in shapes)]
+
+
+def registry(text: str) -> list[dict]:
+    """Registered repositories of a TOML file: name, path, git_remote, git_common_dir, last_indexed."""
+    keys = ("name", "path", "git_remote", "git_common_dir", "last_indexed")
+    return [{k: None if r.get(k) is None else str(r[k]) for k in keys} for r in tomllib.loads(text).get("repos", [])]
+
+
 READERS: dict[str, Callable[[str], list[dict]]] = {"Cargo.toml": cargo_toml, "Cargo.lock": cargo_lock, "package.json": package_json, "pyproject.toml": pyproject, "requirements.txt": requirements_txt}
 
 

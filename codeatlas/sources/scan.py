@@ -11,7 +11,7 @@ from codeatlas.functions.text import fnv1a
 #: Directories that are never walked, and the extensions of source files.
 PRUNED = ("target", "node_modules", "dist", ".next", "build", ".nuxt", ".output", "__pycache__", "venv", "env")
 EXTENSIONS = ("rs", "ts", "tsx", "js", "jsx", "py")
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " "}
 
 
 def extension(path: Column) -> Column:
@@ -50,13 +50,14 @@ def crate_layout(files: DataFrame) -> DataFrame:
 
 
 def html_text(html: Column) -> Column:
-    """Readable text of a page: no script, style or head, from <main> on if there is one, six entities decoded."""
+    """Readable text of a page: no script, style or head, from "Expand description" or else <main> on, six entities decoded in turn."""
     out = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1\s*>", " ")
-    out = F.regexp_replace(out, r"(?is)^.*?(?=<main\b)", "")
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
+    marked = F.contains(out, F.lit("Expand description"))
+    out = F.when(marked, F.regexp_replace(out, r"(?s)^.*?(?=Expand description)", "")).otherwise(F.regexp_replace(out, r"(?s)^.*?(?=<main)", ""))
+    out = F.regexp_replace(F.regexp_replace(out, r"(?s)<[^>]*>", " "), r"\s+", " ")
     for k, v in ENTITIES.items():
         out = F.replace(out, F.lit(k), F.lit(v))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return F.trim(out)
 
 
 def link_index(pages: DataFrame) -> DataFrame:
@@ -66,10 +67,41 @@ def link_index(pages: DataFrame) -> DataFrame:
     return parts.where(F.endswith("href", F.lit(".html"))).groupBy("page_id", "text").agg(F.min_by("href", "pos").alias("href"))
 
 
+#: Where documentation of a dependency comes from, best first.
+DOC_SOURCES = ("docs.rs", "crates.io", "github")
+
+
+def remote_docs(raw: DataFrame, most: int = 8000) -> DataFrame:
+    """(dependency, version, source, content) of fetched (dep, version, source, body) rows: the best source with a text, at most `most` bytes."""
+    rank = F.array_position(F.array(*[F.lit(x) for x in DOC_SOURCES]), F.lower("source"))
+    useful = raw.where((F.trim(F.coalesce("body", F.lit(""))) != "") & (rank > 0))
+    best = useful.groupBy("dep", "version").agg(F.min(F.struct(rank.alias("rank"), "source", "body")).alias("b"))
+    return best.select(F.col("dep").alias("dependency"), "version", "b.source", _cut_bytes(F.col("b.body"), most).alias("content"))
+
+
+def _cut_bytes(c: Column, most: int) -> Column:
+    """At most `most` bytes, cut between characters."""
+    whole = F.decode(F.substring(F.encode(c, "UTF-8"), 1, most), "UTF-8")
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.regexp_replace(whole, "\ufffd+$", ""))
+
+
 def rustdoc_docs(files: DataFrame, summary: int = 4000, module: int = 8000) -> DataFrame:
-    """(crate, module, content) of rustdoc JSON text in (crate, json): items as `id -> {name, docs, kind}`."""
-    schema = "root string, index map<string, struct<name:string, docs:string, kind:string>>"
-    items = files.select("crate", F.from_json("json", schema).alias("j")).select("crate", F.col("j.root").alias("root"), F.explode("j.index").alias("id", "item"))
-    body = F.concat_ws("\n", F.col("item.name"), F.col("item.docs"))
-    kept = (F.col("id") == F.col("root")) | ((F.col("item.kind") == "module") & (F.size(F.split(body, "\n")) > 2))
-    return items.where(kept).select("crate", F.when(F.col("id") == F.col("root"), "").otherwise(F.col("item.name")).alias("module"), F.when(F.col("id") == F.col("root"), F.substring(body, 1, summary)).otherwise(F.substring(body, 1, module)).alias("content"))
+    """(crate, module, content) of rustdoc JSON text in (crate, json): the crate's own docs with its modules, then each module.
+
+    Items are `id -> {name, docs, inner}`; an item whose inner value is a module has its items there.
+    Modules of less than three lines are left out. Ids are numbers or strings.
+    """
+    schema = "root string, index map<string, struct<name:string, docs:string, inner:struct<module:struct<items:array<string>>>>>"
+    doc = files.select("crate", F.from_json("json", schema).alias("j")).select("crate", "j.root", "j.index")
+    items = doc.select("crate", "root", F.explode("index").alias("id", "item"))
+    child = items.select("crate", F.col("id").alias("parent"), F.posexplode("item.inner.module.items").alias("pos", "id"))
+    known = items.select("crate", "id", F.col("item.name").alias("name"), F.col("item.inner.module").isNotNull().alias("is_module"))
+    listed = child.join(known, ["crate", "id"]).groupBy("crate", "parent").agg(F.sort_array(F.collect_list(F.struct("pos", "name", "is_module"))).alias("own"))
+    rows = items.where("item.inner.module IS NOT NULL").join(listed.withColumnRenamed("parent", "id"), ["crate", "id"], "left")
+    own = F.coalesce("own", F.array().cast("array<struct<pos:int,name:string,is_module:boolean>>"))
+    names = lambda keep: F.transform(F.filter(own, keep), lambda x: F.concat(F.lit("- "), x["name"]))
+    part = lambda title, keep: F.when(F.size(names(keep)) > 0, F.concat(F.lit(f"## {title}\n"), F.array_join(names(keep), "\n")))
+    body = F.concat_ws("\n", F.concat(F.lit("# "), F.col("item.name")), "item.docs", part("Modules", lambda x: x["is_module"]), part("Items", lambda x: ~x["is_module"]))
+    is_root = F.col("id") == F.col("root")
+    kept = rows.select("crate", is_root.alias("is_root"), F.col("item.name").alias("name"), body.alias("body")).where(F.col("is_root") | (F.size(F.split("body", "\n")) > 2))
+    return kept.select("crate", F.when(F.col("is_root"), "").otherwise(F.col("name")).alias("module"), F.when(F.col("is_root"), _cut_bytes(F.col("body"), summary)).otherwise(_cut_bytes(F.col("body"), module)).alias("content"))

@@ -56,8 +56,8 @@ from codeatlas.llm.textkernel import mix, shingle_sets
 SKETCH, BLOCK = 1 << 20, 1 << 14
 FREQUENT = 8.0
 CLASSES, SMALL = 32, 64
-#: Bins of the sharper vectors, and of the vectors of sets of LARGE shingles or more.
-SHARP, WIDE, LARGE = 512, 1024, 400
+#: Bins of the vectors of index rows, of the sharper vectors, and of the vectors of sets of LARGE shingles or more.
+FINE, SHARP, WIDE, LARGE = 128, 512, 1024, 400
 #: Rows of one signature compared as soon as they meet; rows of a tile; proposals of a row.
 WHOLE, TILE, TOP = 64, 1024, 3
 #: Rounds of proposals before all pairs of different components are compared.
@@ -72,12 +72,12 @@ U = np.uint64
 
 
 def bins(own: np.ndarray) -> np.ndarray:
-    """Four numbers: 16 counts of one byte (at most 255), then 64 counts modulo 4 in Gray code.
+    """Six numbers: 16 counts of one byte (at most 255), then FINE counts modulo 4 in Gray code.
 
     The Hamming distance of Gray codes is the circular distance of the counts, at most their difference.
     """
     wide = np.minimum(np.bincount((own >> U(60)).astype(np.int64), minlength=16), 255).astype(np.uint8)
-    fine = np.bincount((own >> U(50)).astype(np.int64) & 63, minlength=64).astype(np.uint8) & 3
+    fine = np.bincount((own >> U(50)).astype(np.int64) & FINE - 1, minlength=FINE).astype(np.uint8) & 3
     fine ^= fine >> 1
     bits = np.stack([fine & 1, fine >> 1]).reshape(-1)
     return np.concatenate([wide, np.packbits(bits)]).view("<i8")
@@ -94,7 +94,7 @@ def second_name(n: np.ndarray, v: list[np.ndarray]) -> np.ndarray:
 def set_name(own: np.ndarray, vector: np.ndarray) -> tuple[int, int]:
     """128-bit name of a sorted distinct shingle set, as two signed numbers."""
     a = mix(np.array([np.add.reduce(mix(own))], dtype=np.uint64) + U(len(own)))
-    return int(a.view(np.int64)[0]), int(second_name(np.array([len(own)]), [vector[k : k + 1] for k in range(4)])[0])
+    return int(a.view(np.int64)[0]), int(second_name(np.array([len(own)]), [vector[k : k + 1] for k in range(len(vector))])[0])
 
 
 SCAN = "doc_id long, n_shingles long, c1 long, c2 long, block int, counts binary"
@@ -179,9 +179,9 @@ def signatures(own: np.ndarray, frequent: np.ndarray, percent: int, groups: int)
     return np.concatenate(out)
 
 
-ROWS = "sig long, c1 long, n int, v0 long, v1 long, v2 long, v3 long"
-ROW_NAMES = [c.split()[0] for c in ROWS.split(", ")]
-VECTOR = ROW_NAMES[3:]
+VECTOR = [f"v{k}" for k in range(2 + FINE // 32)]
+ROW_NAMES = ["sig", "c1", "n", *VECTOR]
+ROWS = "sig long, c1 long, n int, " + ", ".join(f"{v} long" for v in VECTOR)
 
 
 def index_rows(spark: SparkSession, docs: DataFrame, n: int, percent: int, flags: np.ndarray) -> DataFrame:
@@ -196,7 +196,7 @@ def index_rows(spark: SparkSession, docs: DataFrame, n: int, percent: int, flags
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), pa.int32() if k == 2 else pa.int64()) for k, p in enumerate(parts)], ROW_NAMES)
 
         for b in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in range(7)]
+            parts: list[list[np.ndarray]] = [[] for _ in ROW_NAMES]
             size = 0
             for _, own in shingle_sets(b.column(0), n):
                 if len(own) < least:
@@ -216,7 +216,7 @@ def index_rows(spark: SparkSession, docs: DataFrame, n: int, percent: int, flags
                 size += len(sig)
                 if size >= 1 << 17:
                     yield packed(parts)
-                    parts, size = [[] for _ in range(7)], 0
+                    parts, size = [[] for _ in ROW_NAMES], 0
             if size:
                 yield packed(parts)
 
@@ -227,21 +227,22 @@ SHARPS = [f"w{k}" for k in range(SHARP // 32)]
 
 
 def passing(one: list[np.ndarray], two: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs of rows (i of one, j of two) of (size, v0 .. v3, perhaps w0 ..) pass the bounds, and their distance by the finer vector.
+    """Which pairs of rows (i of one, j of two) of (size, v0 .., perhaps w0 ..) pass the bounds, and their distance by the finer vector.
 
     inter / union >= p means |a ^ b| <= (1 - p) / (1 + p) * (|a| + |b|).
     """
+    last = 1 + len(VECTOR)
     na, nb = one[0][i], two[0][j]
     ok = np.flatnonzero(np.minimum(na, nb) * 100 >= percent * np.maximum(na, nb))
     i, j, most = i[ok], j[ok], (100 - percent) * (na[ok] + nb[ok])
-    fine = sum(np.bitwise_count((one[k][i] ^ two[k][j]).view(np.uint64)).astype(np.int64) for k in (3, 4))
+    fine = sum(np.bitwise_count((one[k][i] ^ two[k][j]).view(np.uint64)).astype(np.int64) for k in range(3, last))
     keep = fine * (100 + percent) <= most
     ok, i, j, most, fine = ok[keep], i[keep], j[keep], most[keep], fine[keep]
     va, vb = (np.stack([c[1][k], c[2][k]], axis=1).view(np.uint8).astype(np.int16) for c, k in ((one, i), (two, j)))
     keep = np.abs(va - vb).sum(axis=1) * (100 + percent) <= most
     ok, i, j, most, fine = ok[keep], i[keep], j[keep], most[keep], fine[keep]
-    if len(one) > 5 and len(ok):
-        sharp = sum(np.bitwise_count((one[k][i] ^ two[k][j]).view(np.uint64)).astype(np.int64) for k in range(5, len(one)))
+    if len(one) > last and len(ok):
+        sharp = sum(np.bitwise_count((one[k][i] ^ two[k][j]).view(np.uint64)).astype(np.int64) for k in range(last, len(one)))
         keep = sharp * (100 + percent) <= most
         ok, fine = ok[keep], fine[keep]
     return ok, fine
@@ -282,7 +283,7 @@ def grouped(batches: Iterator[pa.RecordBatch], whole: int, key: int = 0) -> Iter
 
 
 def close_ones(cols: list[np.ndarray], starts: np.ndarray, use: np.ndarray, percent: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, distance) of the passing pairs of rows of one group, for groups in `use` of at most `most` rows; cols: size, v0 .. v3."""
+    """(i, j, distance) of the passing pairs of rows of one group, for groups in `use` of at most `most` rows; cols: size, v0 ..."""
     sizes = np.diff(starts, append=len(cols[0]))
     few = use & (sizes > 1) & (sizes <= most)
     end = np.repeat(np.where(few, starts + sizes, -1), sizes)
@@ -294,8 +295,8 @@ def close_ones(cols: list[np.ndarray], starts: np.ndarray, use: np.ndarray, perc
             yield i[ok], i[ok] + d, far
 
 
-LIVE = "g long, c1 long, c2 long, n long, v0 long, v1 long, v2 long, v3 long"
-LIVE_NAMES = [c.split()[0] for c in LIVE.split(", ")]
+LIVE_NAMES = ["g", "c1", "c2", "n", *VECTOR]
+LIVE = ", ".join(f"{c} long" for c in LIVE_NAMES)
 
 
 def live_rows(index: DataFrame, percent: int, most: int = WHOLE) -> DataFrame:
@@ -307,9 +308,9 @@ def live_rows(index: DataFrame, percent: int, most: int = WHOLE) -> DataFrame:
             sig, c1, n = cols[:3]
             sizes = np.diff(starts, append=len(sig))
             live = np.repeat(~whole, sizes)
-            for i, j, _ in close_ones(cols[2:7], starts, whole, percent, most):
+            for i, j, _ in close_ones(cols[2:], starts, whole, percent, most):
                 live[i] = live[j] = True
-            c2 = second_name(n, cols[3:7])
+            c2 = second_name(n, cols[3:])
             named = mix(c1.view(np.uint64) ^ mix(c2.view(np.uint64) + n.astype(np.uint64)))
             sets = mix(np.add.reduceat(np.where(live, named, U(0)), starts)).view(np.int64)
             fresh = ~whole
@@ -323,7 +324,7 @@ def live_rows(index: DataFrame, percent: int, most: int = WHOLE) -> DataFrame:
             keep = live & np.repeat(fresh, sizes)
             if keep.any():
                 g = np.where(np.repeat(whole, sizes), np.repeat(sets, sizes), sig)
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (g, c1, c2, n, *cols[3:7])], LIVE_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (g, c1, c2, n, *cols[3:])], LIVE_NAMES)
 
     return index.repartitionByRange("sig", "n", "c1").sortWithinPartitions("sig", "n", "c1").mapInArrow(run, LIVE)
 
@@ -375,8 +376,8 @@ def proposals(rows: DataFrame, percent: int, top: int | None, vectors: list[str]
             none = pa.nulls(len(part[0]), pa.int64())
             row = [pa.array(["row"] * len(part[0])), pa.array(part[3]), none, none, pa.array(part[0]), pa.array(np.full(len(part[0]), tile)), pa.array(part[1]), pa.array(part[2]), *(pa.array(c) for c in part[4:])]
             yield pa.RecordBatch.from_arrays(row, names)
-            votes = [np.unpackbits(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0) * 2 > len(c) for c in part[6:8]]
-            middle = {"g": int(part[0][0]), "tile": tile, "v2": int(np.packbits(votes[0]).view("<i8")[0]), "v3": int(np.packbits(votes[1]).view("<i8")[0])}
+            votes = [np.unpackbits(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0) * 2 > len(c) for c in part[6 : 4 + len(VECTOR)]]
+            middle = {"g": int(part[0][0]), "tile": tile, **{v: int(np.packbits(x).view("<i8")[0]) for v, x in zip(VECTOR[2:], votes, strict=True)}}
             yield pa.RecordBatch.from_arrays([pa.array(["middle"]), *(pa.array([middle.get(c)], pa.int64()) for c in names[1:])], names)
 
         kept: list[np.ndarray] | None = None
@@ -406,13 +407,17 @@ def proposals(rows: DataFrame, percent: int, top: int | None, vectors: list[str]
 
 def hub_pairs(found: DataFrame, percent: int) -> DataFrame:
     """(b, a, far): each row of a group of several tiles with the group's hub, if they pass the bounds."""
-    middle = found.where("kind = 'middle'").groupBy("g").agg(F.count("*").alias("tiles"), F.min_by(F.struct("v2", "v3"), "tile").alias("m"))
-    middle = middle.where("tiles > 1").select("g", F.col("m.v2").alias("m2"), F.col("m.v3").alias("m3"))
-    rows = found.where("kind = 'row'").select("g", F.col("a").alias("cid"), "root", "n", "v2", "v3")
-    apart = lambda x, y: F.bit_count(F.col("v2").bitwiseXOR(F.col(x))) + F.bit_count(F.col("v3").bitwiseXOR(F.col(y)))
-    hub = rows.join(middle, "g").groupBy("g").agg(F.min(F.struct(apart("m2", "m3").alias("far"), "cid", "root", "n", "v2", "v3")).alias("h"))
-    hub = hub.select("g", F.col("h.cid").alias("a"), F.col("h.root").alias("h_root"), F.col("h.n").alias("h_n"), F.col("h.v2").alias("h2"), F.col("h.v3").alias("h3"))
-    near = rows.join(hub, "g").where("root <> h_root").withColumn("far", apart("h2", "h3").cast("long"))
+    fine = VECTOR[2:]
+    middle = found.where("kind = 'middle'").groupBy("g").agg(F.count("*").alias("tiles"), F.min_by(F.struct(*fine), "tile").alias("m"))
+    middle = middle.where("tiles > 1").select("g", *[F.col(f"m.{v}").alias(f"m_{v}") for v in fine])
+    rows = found.where("kind = 'row'").select("g", F.col("a").alias("cid"), "root", "n", *fine)
+
+    def apart(other: str):  # noqa: ANN202
+        return sum((F.bit_count(F.col(v).bitwiseXOR(F.col(f"{other}_{v}"))) for v in fine), F.lit(0)).cast("long")
+
+    hub = rows.join(middle, "g").groupBy("g").agg(F.min(F.struct(apart("m").alias("far"), "cid", "root", "n", *fine)).alias("h"))
+    hub = hub.select("g", F.col("h.cid").alias("a"), F.col("h.root").alias("h_root"), F.col("h.n").alias("h_n"), *[F.col(f"h.{v}").alias(f"h_{v}") for v in fine])
+    near = rows.join(hub, "g").where("root <> h_root").withColumn("far", apart("h"))
     fits = (F.least("n", "h_n") * 100 >= percent * F.greatest("n", "h_n")) & (F.col("far") * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("h_n")))
     return near.where(fits).select(F.col("cid").alias("b"), "a", "far")
 
@@ -481,7 +486,7 @@ FEATURES = "c1 long, c2 long, n_shingles long, " + ", ".join(f"{w} long" for w i
 def class_texts(spark: SparkSession, docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(cid, n_shingles, w0 .., wide, text): one text of each class of `wanted`, with its vectors.
 
-    w0 .. have counts of SHARP bins modulo 4 in Gray code, as `bins` has 64; `wide` counts of WIDE
+    w0 .. have counts of SHARP bins modulo 4 in Gray code, as `bins` has FINE; `wide` counts of WIDE
     bins, for sets of LARGE shingles or more.
     """
     shared = id_filter(spark, wanted.where("rep IS NOT NULL").select("rep").distinct())

@@ -81,7 +81,7 @@ def remote_docs(raw: DataFrame, most: int = 8000) -> DataFrame:
 
 def _cut_bytes(c: Column, most: int) -> Column:
     """At most `most` bytes, cut between characters."""
-    whole = F.decode(F.substring(F.encode(c, "UTF-8"), 1, most), "UTF-8")
+    whole = F.make_valid_utf8(F.substring(F.encode(c, "UTF-8"), 1, most).cast("string"))
     return F.when(F.octet_length(c) <= most, c).otherwise(F.regexp_replace(whole, "\ufffd+$", ""))
 
 

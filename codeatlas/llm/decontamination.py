@@ -62,21 +62,31 @@ def is_slot(token: Column) -> Column:
     return F.substring(token, 1, 1).between(NUMBER, NAME)
 
 
-def window_hashes(tokens: Column, slots: Column) -> Column:
-    """The hash of each window of a token array: of its types, or of the whole tokens where few are literal."""
+def window_hashes(tokens: Column, types: Column, literal: Column) -> Column:
+    """The hash of each window of a token array: of its types, or of the whole tokens where few are literal.
+
+    `types` and `literal` (1 for tokens that are no slots) are null for texts without slots. All three
+    have to be columns, not expressions, which would be computed again for every window.
+    """
     span = F.sequence(F.lit(0), F.size(tokens) - WINDOW)
-    plain = F.transform(span, lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(WINDOW)]))
-    types = F.transform(tokens, slot_type)
-    literal = lambda i: sum((F.when(is_slot(F.get(tokens, i + k)), 0).otherwise(1) for k in range(WINDOW)), F.lit(0)) >= LITERALS
-    typed = F.transform(span, lambda i: F.when(literal(i), F.xxhash64(*[F.get(types, i + k) for k in range(WINDOW)])).otherwise(F.xxhash64(*[F.get(tokens, i + k) for k in range(WINDOW)])))
-    return F.when(F.size(tokens) >= WINDOW, F.when(slots, typed).otherwise(plain))
+    whole = lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(WINDOW)])
+    many = lambda i: sum((F.get(literal, i + k) for k in range(WINDOW)), F.lit(0)) >= LITERALS
+    typed = F.transform(span, lambda i: F.when(many(i), F.xxhash64(*[F.get(types, i + k) for k in range(WINDOW)])).otherwise(whole(i)))
+    return F.when(F.size(tokens) >= WINDOW, F.when(types.isNotNull(), typed).otherwise(F.transform(span, whole)))
 
 
 def windows(rows: DataFrame, id_col: str) -> DataFrame:
     """(id, at, hash) of every window of (id, text) rows; nulls for texts without one."""
     text = F.coalesce("text", F.lit(""))
     tokens = rows.select(id_col, may_have_slots(text).alias("slots"), canonical_tokens(text).alias("t"))
-    return tokens.select(id_col, window_hashes(F.col("t"), F.col("slots")).alias("hashes")).select(id_col, F.posexplode_outer("hashes").alias("at", "hash"))
+    kinds = tokens.select(
+        id_col,
+        "t",
+        F.when(F.col("slots"), F.transform("t", slot_type)).alias("types"),
+        F.when(F.col("slots"), F.transform("t", lambda t: F.when(is_slot(t), 0).otherwise(1))).alias("literal"),
+    )
+    hashes = window_hashes(F.col("t"), F.col("types"), F.col("literal"))
+    return kinds.select(id_col, hashes.alias("hashes")).select(id_col, F.posexplode_outer("hashes").alias("at", "hash"))
 
 
 def with_windows(rows: DataFrame, places: DataFrame, id_col: str, name: str) -> DataFrame:

@@ -103,6 +103,15 @@ def brute_contamination(docs, items):
     return out
 
 
+def test_windows_of_a_long_text_with_slots_cost_its_length(spark):
+    """A window's hash takes five tokens; types computed again per window would make 10^10 steps here."""
+    n = 20_000
+    rows = frame(spark, [(1, " ".join(f"w{i % 977}x {i}" for i in range(n))), (2, "plain words only here now")])
+    got = {r.doc_id: r for r in decontamination.windows(rows, "doc_id").groupBy("doc_id").agg(F.count("hash").alias("n"), F.max("at").alias("last")).collect()}
+    assert (got[1].n, got[1].last) == (2 * n - 4, 2 * n - 5)
+    assert (got[2].n, got[2].last) == (1, 0)
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(8)
     word = lambda: rng.choice("abcdefgh") * 3 if rng.random() < 0.7 else str(rng.randrange(10, 16))

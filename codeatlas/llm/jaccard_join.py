@@ -480,16 +480,22 @@ def in_filter(shared, slots: pa.Array) -> np.ndarray:  # noqa: ANN001
     return np.frombuffer(shared.value, dtype=np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
-FEATURES = "c1 long, c2 long, n_shingles long, " + ", ".join(f"{w} long" for w in SHARPS) + ", wide binary, text string"
+FEATURES = ", ".join(f"{w} long" for w in SHARPS) + ", wide binary"
 
 
-def class_texts(spark: SparkSession, docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(cid, n_shingles, w0 .., wide, text): one text of each class of `wanted`, with its vectors.
+def features(own: np.ndarray) -> tuple:
+    """Counts of SHARP bins modulo 4 in Gray code, as `bins` has FINE, and counts of WIDE bins for sets of LARGE shingles or more."""
+    fine = np.bincount((own >> U(30)).astype(np.int64) & SHARP - 1, minlength=SHARP).astype(np.uint8) & 3
+    fine ^= fine >> 1
+    wide = np.minimum(np.bincount((own >> U(20)).astype(np.int64) & WIDE - 1, minlength=WIDE), 255).astype(np.uint8).tobytes() if len(own) >= LARGE else b""
+    return (*np.packbits(np.stack([fine & 1, fine >> 1]).reshape(-1)).view("<i8").tolist(), wide)
 
-    w0 .. have counts of SHARP bins modulo 4 in Gray code, as `bins` has FINE; `wide` counts of WIDE
-    bins, for sets of LARGE shingles or more.
-    """
+
+def of_classes(spark: SparkSession, docs: DataFrame, wanted: DataFrame, n: int, with_text: bool) -> DataFrame:
+    """One row of each class of `wanted`: (cid, text), or (cid, n_shingles, w0 .., wide) with the numbers of `features`."""
     shared = id_filter(spark, wanted.where("rep IS NOT NULL").select("rep").distinct())
+    schema = "c1 long, c2 long, n_shingles long, " + ("text string" if with_text else FEATURES)
+    kinds = [pa.int64()] * 3 + ([pa.string()] if with_text else [pa.int64()] * len(SHARPS) + [pa.binary()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
@@ -499,29 +505,26 @@ def class_texts(spark: SparkSession, docs: DataFrame, wanted: DataFrame, n: int)
                 part = b.slice(a, 1000)
                 rows, use = [], []
                 for k, own in shingle_sets(part.column(0), n):
-                    vector = bins(own)
-                    name = set_name(own, vector)
+                    name = set_name(own, bins(own))
                     if not len(own) or name in done:
                         continue
                     if len(done) >= SEEN:
                         done.clear()
                     done.add(name)
                     use.append(k)
-                    fine = np.bincount((own >> U(30)).astype(np.int64) & SHARP - 1, minlength=SHARP).astype(np.uint8) & 3
-                    fine ^= fine >> 1
-                    wide = np.minimum(np.bincount((own >> U(20)).astype(np.int64) & WIDE - 1, minlength=WIDE), 255).astype(np.uint8).tobytes() if len(own) >= LARGE else b""
-                    rows.append((*name, len(own), *np.packbits(np.stack([fine & 1, fine >> 1]).reshape(-1)).view("<i8").tolist(), wide))
+                    rows.append((*name, len(own), *(() if with_text else features(own))))
                 if rows:
-                    kinds = [pa.int64()] * (3 + len(SHARPS)) + [pa.binary()]
-                    yield _batch(FEATURES, [*kinds, pa.string()], [*(list(c) for c in zip(*rows, strict=True)), part.column(0).take(pa.array(use))])
+                    text = [part.column(0).take(pa.array(use))] if with_text else []
+                    yield _batch(schema, kinds, [*(list(c) for c in zip(*rows, strict=True)), *text])
 
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
-    named = docs.select("text", slot.alias("slot"), F.col("doc_id").isNull().alias("unnamed")).mapInArrow(run, FEATURES)
+    named = docs.select("text", slot.alias("slot"), F.col("doc_id").isNull().alias("unnamed")).mapInArrow(run, schema)
     on = ["c1", "c2", "n_shingles"]
-    return written(spark, named.hint("merge").join(wanted.select(*on, "cid"), on).dropDuplicates(on).select("cid", "n_shingles", *SHARPS, "wide", "text"), "class_texts")
+    out = ["text"] if with_text else ["n_shingles", *SHARPS, "wide"]
+    return written(spark, named.hint("merge").join(wanted.select(*on, "cid"), on).dropDuplicates(on).select("cid", *out), "class_texts" if with_text else "class_vectors")
 
 
-def close_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def close_pairs(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
     """Of (a, b) class pairs, those that pass the bound by sharper vectors."""
 
     m = len(SHARPS)
@@ -540,19 +543,16 @@ def close_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
     names = ["n_shingles", *SHARPS, "wide"]
-    one, two = (texts.select(F.col("cid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in names]) for x in ("a", "b"))
+    one, two = (vectors.select(F.col("cid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in names]) for x in ("a", "b"))
     both = pairs.hint("merge").join(one, "a").hint("merge").join(two, "b")
     return both.select("a", "b", *[f"{x}_{c}" for x in ("a", "b") for c in names]).mapInArrow(run, "a long, b long")
 
 
-def verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of (a, b) class pairs, those that link."""
-    pairs = written(spark, close_pairs(pairs, texts, percent), "close")
-    shared = id_filter(spark, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")))
-
-    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(in_filter(shared, b.column(2)))).select([0, 1])
+def verified(spark: SparkSession, pairs: DataFrame, vectors: DataFrame, docs: DataFrame, wanted: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of (a, b) class pairs, those that link; texts are fetched for pairs that pass the vectors."""
+    pairs = written(spark, close_pairs(pairs, vectors, percent), "close")
+    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    texts = of_classes(spark, docs, written(spark, wanted.hint("merge").join(ids, "cid", "left_semi"), "chosen"), n, with_text=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -563,9 +563,10 @@ def verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, n: int, pe
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
-    own = texts.select("cid", "text", F.pmod(F.xxhash64("cid"), F.lit(FILTER)).alias("slot")).mapInArrow(needed, "cid long, text string")
-    both = pairs.hint("merge").join(own.toDF("a", "ta"), "a").hint("merge").join(own.toDF("b", "tb"), "b")
-    return written(spark, both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
+    both = pairs.hint("merge").join(texts.toDF("a", "ta"), "a").hint("merge").join(texts.toDF("b", "tb"), "b")
+    links = written(spark, both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
+    discard(spark, texts)
+    return links
 
 
 def open_members(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -581,7 +582,7 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def linked_classes(spark: SparkSession, members: DataFrame, texts: DataFrame, n: int, percent: int, whole: int = WHOLE, tile: int = TILE) -> DataFrame:
+def linked_classes(spark: SparkSession, members: DataFrame, vectors: DataFrame, docs: DataFrame, wanted: DataFrame, n: int, percent: int, whole: int = WHOLE, tile: int = TILE) -> DataFrame:
     """(id, root) of the classes that link with others."""
     links = tried = roots = None
     for _ in range(STARS):
@@ -591,14 +592,14 @@ def linked_classes(spark: SparkSession, members: DataFrame, texts: DataFrame, n:
             offers = offers.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(tried.toDF("x", "y"), ["x", "y"], "left_anti").select("b", "a", "far")
         best = offers.groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
         some = written(spark, ordered(best).distinct(), "some")
-        now = verified(spark, some, texts, n, percent)
+        now = verified(spark, some, vectors, docs, wanted, n, percent)
         links, tried = (now, some) if links is None else (links.unionByName(now), tried.unionByName(some))
         roots = written(spark, connected_components(spark, links), "roots")
         discard(spark, found)
-    sharper = open_members(members, roots).hint("merge").join(texts.select("cid", *SHARPS), "cid")
+    sharper = open_members(members, roots).hint("merge").join(vectors.select("cid", *SHARPS), "cid")
     found = written(spark, proposals(written(spark, sharper, "open"), percent, None, [*VECTOR, *SHARPS], whole, tile), "found")
     left = ordered(found.where("kind = 'pair'").select("a", "b").unionByName(across_tiles(spark, found, percent, [*VECTOR, *SHARPS]))).distinct()
-    more = verified(spark, written(spark, left.join(tried, ["a", "b"], "left_anti"), "left"), texts, n, percent)
+    more = verified(spark, written(spark, left.join(tried, ["a", "b"], "left_anti"), "left"), vectors, docs, wanted, n, percent)
     if more.isEmpty():
         return roots
     return written(spark, connected_components(spark, links.unionByName(more)), "roots")
@@ -617,9 +618,9 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 3, percent:
         live = live_rows(index, percent, whole).dropDuplicates(["g", "c1", "c2", "n"]).withColumnRenamed("n", "n_shingles")
         members = written(spark, live.hint("merge").join(classes.select(*on, "cid"), on).select("g", F.col("n_shingles").alias("n"), "cid", *VECTOR), "members")
         discard(spark, index)
-        wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi")
-        texts = class_texts(spark, docs, wanted, n)
-        roots = linked_classes(spark, members, texts, n, percent, whole, tile)
+        wanted = written(spark, classes.join(members.select("cid").distinct(), "cid", "left_semi"), "wanted")
+        vectors = of_classes(spark, docs, wanted, n, with_text=False)
+        roots = linked_classes(spark, members, vectors, docs, wanted, n, percent, whole, tile)
         named = written(spark, classes.join(roots.withColumnRenamed("id", "cid"), "cid", "left"), "named")
         least = written(spark, named.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("classes")), "least")
         total = sets.count()
@@ -629,7 +630,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 3, percent:
         named = named.join(F.broadcast(large.withColumn("is_large", F.lit(True))), "root", "left")
         small = named.where("is_large IS NULL").join(least, "root", "left").select(*on, F.coalesce("component", "rep").alias("component"), "copies")
         component = written(spark, small.unionByName(named.where("is_large").select(*on, F.col("large").alias("component"), "copies")), "components")
-        discard(spark, texts, members)
+        discard(spark, vectors, members)
     hot = component.where(F.col("copies") * HOT > total).drop("copies")
     cold = component.where(F.col("copies") * HOT <= total).drop("copies")
     near = sets.join(F.broadcast(hot.withColumn("is_hot", F.lit(True)).withColumnRenamed("component", "hot")), on, "left")

@@ -59,7 +59,7 @@ CLASSES, SMALL = 32, 64
 #: Bins of the vectors of index rows, of the sharper vectors, and of the vectors of sets of LARGE shingles or more.
 FINE, SHARP, WIDE, LARGE = 128, 512, 1024, 400
 #: Rows of one signature compared as soon as they meet; rows of a tile; proposals of a row.
-WHOLE, TILE, TOP = 64, 1024, 3
+WHOLE, TILE, TOP = 256, 1024, 3
 #: Rounds of proposals before all pairs of different components are compared.
 STARS = 2
 #: Bits of the filter that spares most texts the shuffle, of fixed size; and those of one of its rows.
@@ -287,9 +287,9 @@ def close_ones(cols: list[np.ndarray], starts: np.ndarray, use: np.ndarray, perc
     sizes = np.diff(starts, append=len(cols[0]))
     few = use & (sizes > 1) & (sizes <= most)
     end = np.repeat(np.where(few, starts + sizes, -1), sizes)
-    at = np.arange(len(end))
+    i = np.flatnonzero(end >= 0)
     for d in range(1, int(sizes[few].max()) if few.any() else 0):
-        i = np.flatnonzero(at + d < end)
+        i = i[i + d < end[i]]
         ok, far = passing(cols, cols, i, i + d, percent)
         if len(ok):
             yield i[ok], i[ok] + d, far

@@ -14,20 +14,24 @@ least PERCENT / 100; the result gives each document its component under links.
    shingles it indexes number one more than a partner may miss, where g frequent shingles of one
    group count g - 1, so linked classes share a signature. Sets of at most SMALL shingles use one
    group; those around SMALL index both ways.
-4. Index rows are dealt by ranges of (signature, size, class), so that a hot signature spreads over
+4. Each class is indexed once. First only signatures travel, cut to CUT bits and as differences, to
+   find those of more than one class; a filter of them, of FILTER_PER bits for each and at most
+   FILTER_MOST, goes back. Other signatures have no pair, and their rows go no further. Beyond that
+   size the filter lets more rows pass, never fewer.
+5. Index rows are dealt by ranges of (signature, size, class), so that a hot signature spreads over
    tasks. Groups of up to WHOLE rows are compared on the spot by size and by vectors of counts of
    their shingles in bins (the L1 distance of the vectors is at most the size of the symmetric
    difference); rows without a possible partner go. What is left of a group is named by its members:
    signatures of the same members give the same pairs, so one of them stays. Larger groups and those
    cut by a range border keep all their rows and the signature as their name.
-5. Groups are dealt by ranges of (group, component, size, class) and cut into tiles of TILE rows. In
+6. Groups are dealt by ranges of (group, component, size, class) and cut into tiles of TILE rows. In
    STARS rounds each row proposes its nearest partners of another component in its own tile and, where
    a group has several tiles, the hub: the row nearest to the majority vector of a tile, which is the
    original if the others are edited copies of it. Each class has its best untried proposal verified,
    and links are joined to components. Then all pairs of classes that are still in different
    components are compared by sharper vectors, tile against tile, so no link is lost and neither one
    task's memory nor its time follows a group.
-6. Proposals are compared by the sharper vectors (and for large sets by vectors of WIDE counts) under
+7. Proposals are compared by the sharper vectors (and for large sets by vectors of WIDE counts) under
    the same bound, then verified on the texts.
 
 Joins of texts, vectors and members sort and merge at every size, so that shuffles grow with the input.
@@ -49,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import discard, fresh, numbered, small_batches, table, written
+from codeatlas.llm.common import discard, fresh, numbered, small_batches, small_enough, table, written
 from codeatlas.llm.components import connected_components
 from codeatlas.llm.textkernel import mix, shingle_sets
 
@@ -64,10 +68,16 @@ WHOLE, TILE, TOP = 256, 1024, 3
 STARS = 2
 #: Bits of the filter that spares most texts the shuffle, of fixed size; and those of one of its rows.
 FILTER, FILTER_ROW = 1 << 26, 1 << 15
+#: Signatures of one chunk of index rows; bits of signatures that are told apart to find shared ones; ranges they are dealt to, at most.
+CHUNK, CUT, RANGES = 1 << 16, 40, 1024
+#: Bits of the filter of shared signatures for each of them, and at most in all (both as powers of two).
+FILTER_PER, FILTER_MOST = 5, 28
 #: Names that a task remembers having given.
 SEEN = 200_000
 #: Keys of more than 1 / HOT of all rows, at most HOT of them, are joined by broadcast.
 HOT = 1000
+#: Groups of several tiles, up to which their hubs are broadcast.
+HUBS = 50_000
 U = np.uint64
 
 
@@ -184,20 +194,30 @@ ROW_NAMES = ["sig", "c1", "n", *VECTOR]
 ROWS = "sig long, c1 long, n int, " + ", ".join(f"{v} long" for v in VECTOR)
 
 
-def index_rows(spark: SparkSession, docs: DataFrame, n: int, percent: int, flags: np.ndarray) -> DataFrame:
+INDEX_NAMES = ["sigs", "counts", "sizes", "c1", "vectors"]
+INDEX = ", ".join(f"{c} binary" for c in INDEX_NAMES)
+
+
+def index_chunks(spark: SparkSession, docs: DataFrame, classes: DataFrame, n: int, percent: int, flags: np.ndarray) -> DataFrame:
+    """Classes in chunks of about CHUNK signatures: all signatures, and of each class their number, its size, name and vector."""
     shared = spark.sparkContext.broadcast(np.packbits(flags))
+    firsts = id_filter(spark, classes.where("rep IS NOT NULL").select("rep"))
     least = -(-percent // (100 - percent))  # smaller sets link with equal ones only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flagged = np.unpackbits(shared.value).astype(bool)
         done: set[tuple[int, int]] = set()
+        sigs: list[np.ndarray] = []
+        rows: list[tuple] = []
+        size = 0
 
-        def packed(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), pa.int32() if k == 2 else pa.int64()) for k, p in enumerate(parts)], ROW_NAMES)
+        def packed() -> pa.RecordBatch:
+            sizes, c1, vectors = zip(*rows, strict=True)
+            parts = (np.concatenate(sigs), np.array([len(x) for x in sigs], "<i4"), np.array(sizes, "<i4"), np.array(c1, "<i8"), np.stack(vectors))
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], INDEX_NAMES)
 
         for b in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in ROW_NAMES]
-            size = 0
+            b = b.filter(pa.array(in_filter(firsts, b.column(1)) | b.column(2).to_numpy(zero_copy_only=False)))
             for _, own in shingle_sets(b.column(0), n):
                 if len(own) < least:
                     continue
@@ -210,17 +230,104 @@ def index_rows(spark: SparkSession, docs: DataFrame, n: int, percent: int, flags
                 done.add(name)
                 hot = flagged[(own & U(SKETCH - 1)).astype(np.int64)]
                 ways = [g for g, use in ((1, len(own) * percent <= SMALL * 100), (CLASSES, len(own) * 100 >= SMALL * percent)) if use]
-                sig = np.unique(np.concatenate([signatures(own, hot, percent, g) for g in ways]))
-                for part, value in zip(parts, (None, name[0], len(own), *vector.tolist()), strict=True):
-                    part.append(sig.view(np.int64) if value is None else np.full(len(sig), value, dtype=np.int64))
-                size += len(sig)
-                if size >= 1 << 17:
-                    yield packed(parts)
-                    parts, size = [[] for _ in ROW_NAMES], 0
-            if size:
-                yield packed(parts)
+                sigs.append(np.unique(np.concatenate([signatures(own, hot, percent, g) for g in ways])))
+                rows.append((len(own), name[0], vector))
+                size += len(sigs[-1])
+                if size >= CHUNK:
+                    yield packed()
+                    sigs.clear()
+                    rows.clear()
+                    size = 0
+        if size:
+            yield packed()
+
+    return with_slots(docs).mapInArrow(run, INDEX)
+
+
+def coded(numbers: np.ndarray) -> bytes:
+    """Ascending numbers as compressed differences."""
+    return zlib.compress(np.diff(numbers, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def decoded(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(8, -1).T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
+def shared_signatures(spark: SparkSession, index: DataFrame) -> DataFrame:
+    """(total, numbers): the first CUT bits of signatures of more than one class, by ranges.
+
+    A chunk sends each of its signatures once, with a last bit that says whether several of its classes have it.
+    """
+    ranges = min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), RANGES)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                own, times = np.unique(np.frombuffer(x.as_buffer(), dtype=np.uint64) >> U(64 - CUT), return_counts=True)
+                at = (own * U(ranges) >> U(CUT)).astype(np.int32)
+                starts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+                own = own << U(1) | (times > 1)
+                yield pa.RecordBatch.from_arrays([pa.array(at[starts]), pa.array([coded(y) for y in np.split(own, starts[1:])], pa.binary())], ["at", "numbers"])
+
+    def met(parts: list[np.ndarray]) -> pa.RecordBatch:
+        own = np.sort(np.concatenate(parts))
+        value = own >> U(1)
+        again = np.concatenate([[False], value[1:] == value[:-1]]) | (own & U(1) == 1)
+        value = np.unique(value[again])
+        return pa.RecordBatch.from_arrays([pa.array([len(value)], pa.int64()), pa.array([coded(value)], pa.binary())], ["total", "numbers"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for b in batches:
+            for at, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if at != now and parts:
+                    yield met(parts)
+                    parts = []
+                now = at
+                parts.append(decoded(x))
+        if parts:
+            yield met(parts)
+
+    dealt = index.select("sigs").mapInArrow(sent, "at int, numbers binary").repartition("at").sortWithinPartitions("at")
+    return written(spark, dealt.mapInArrow(run, "total long, numbers binary"), "shared")
+
+
+def signature_filter(spark: SparkSession, shared: DataFrame):  # noqa: ANN201
+    """(bitmap, bits to shift a signature by for its slot) of the signatures of `shared_signatures`."""
+    total = shared.agg(F.sum("total")).first()[0] or 0
+    size = min(max(total.bit_length() + FILTER_PER, 16), FILTER_MOST)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(1).to_pylist():
+                slots = (decoded(x) >> U(CUT - size)).astype(np.int64)
+                if len(slots):
+                    first = int(slots[0]) >> 3
+                    bits = np.zeros(((int(slots[-1]) >> 3) - first + 1) * 8, dtype=np.uint8)
+                    bits[slots - first * 8] = 1
+                    piece = zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
+                    yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([piece], pa.binary())], ["first", "piece"])
+
+    bits = np.zeros((1 << size) >> 3, dtype=np.uint8)
+    for r in shared.mapInArrow(run, "first long, piece binary").collect():
+        piece = np.frombuffer(zlib.decompress(r.piece), dtype=np.uint8)
+        bits[r.first : r.first + len(piece)] |= piece
+    return spark.sparkContext.broadcast(bits.tobytes()), 64 - size
 
-    return docs.select("text").mapInArrow(run, ROWS)
+
+def index_rows(index: DataFrame, shared, shift: int) -> DataFrame:  # noqa: ANN001
+    """One row for each class and signature that passes the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                sig, counts, sizes, c1, vectors = (np.frombuffer(b.column(c)[k].as_buffer(), dtype=t) for c, t in enumerate(("<u8", "<i4", "<i4", "<i8", "<i8")))
+                keep = np.flatnonzero(in_filter(shared, sig >> U(shift)))
+                own = np.repeat(np.arange(len(counts)), counts)[keep]
+                vectors = vectors.reshape(-1, len(VECTOR))[own]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig[keep].view(np.int64), c1[own], sizes[own], *vectors.T)], ROW_NAMES)
+
+    return index.mapInArrow(run, ROWS)
 
 
 SHARPS = [f"w{k}" for k in range(SHARP // 32)]
@@ -295,7 +402,7 @@ def close_ones(cols: list[np.ndarray], starts: np.ndarray, use: np.ndarray, perc
             yield i[ok], i[ok] + d, far
 
 
-LIVE_NAMES = ["g", "c1", "c2", "n", *VECTOR]
+LIVE_NAMES = ["g", "c1", "c2", "n"]
 LIVE = ", ".join(f"{c} long" for c in LIVE_NAMES)
 
 
@@ -324,7 +431,7 @@ def live_rows(index: DataFrame, percent: int, most: int = WHOLE) -> DataFrame:
             keep = live & np.repeat(fresh, sizes)
             if keep.any():
                 g = np.where(np.repeat(whole, sizes), np.repeat(sets, sizes), sig)
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (g, c1, c2, n, *cols[3:])], LIVE_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (g, c1, c2, n)], LIVE_NAMES)
 
     return index.repartitionByRange("sig", "n", "c1").sortWithinPartitions("sig", "n", "c1").mapInArrow(run, LIVE)
 
@@ -405,19 +512,22 @@ def proposals(rows: DataFrame, percent: int, top: int | None, vectors: list[str]
     return rows.select(*order, *vectors).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
-def hub_pairs(found: DataFrame, percent: int) -> DataFrame:
+def hub_pairs(spark: SparkSession, found: DataFrame, percent: int) -> DataFrame:
     """(b, a, far): each row of a group of several tiles with the group's hub, if they pass the bounds."""
     fine = VECTOR[2:]
     middle = found.where("kind = 'middle'").groupBy("g").agg(F.count("*").alias("tiles"), F.min_by(F.struct(*fine), "tile").alias("m"))
-    middle = middle.where("tiles > 1").select("g", *[F.col(f"m.{v}").alias(f"m_{v}") for v in fine])
+    middle = written(spark, middle.where("tiles > 1").select("g", *[F.col(f"m.{v}").alias(f"m_{v}") for v in fine]), "middles")
+    # one row of at least a tile of rows each: where they are few, a group's rows stay where they are
+    few = small_enough(middle, HUBS)
+    at_hand = F.broadcast if few else lambda df: df
     rows = found.where("kind = 'row'").select("g", F.col("a").alias("cid"), "root", "n", *fine)
 
     def apart(other: str):  # noqa: ANN202
         return sum((F.bit_count(F.col(v).bitwiseXOR(F.col(f"{other}_{v}"))) for v in fine), F.lit(0)).cast("long")
 
-    hub = rows.join(middle, "g").groupBy("g").agg(F.min(F.struct(apart("m").alias("far"), "cid", "root", "n", *fine)).alias("h"))
+    hub = rows.join(at_hand(middle), "g").groupBy("g").agg(F.min(F.struct(apart("m").alias("far"), "cid", "root", "n", *fine)).alias("h"))
     hub = hub.select("g", F.col("h.cid").alias("a"), F.col("h.root").alias("h_root"), F.col("h.n").alias("h_n"), *[F.col(f"h.{v}").alias(f"h_{v}") for v in fine])
-    near = rows.join(hub, "g").where("root <> h_root").withColumn("far", apart("h"))
+    near = rows.join(at_hand(hub), "g").where("root <> h_root").withColumn("far", apart("h"))
     fits = (F.least("n", "h_n") * 100 >= percent * F.greatest("n", "h_n")) & (F.col("far") * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("h_n")))
     return near.where(fits).select(F.col("cid").alias("b"), "a", "far")
 
@@ -475,12 +585,17 @@ def id_filter(spark: SparkSession, ids: DataFrame):  # noqa: ANN201
     return spark.sparkContext.broadcast(bits.tobytes())
 
 
-def in_filter(shared, slots: pa.Array) -> np.ndarray:  # noqa: ANN001
-    at = slots.to_numpy(zero_copy_only=False)
+def in_filter(shared, slots: pa.Array | np.ndarray) -> np.ndarray:  # noqa: ANN001
+    at = (slots if isinstance(slots, np.ndarray) else slots.to_numpy(zero_copy_only=False)).astype(np.int64)
     return np.frombuffer(shared.value, dtype=np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
-FEATURES = ", ".join(f"{w} long" for w in SHARPS) + ", wide binary"
+def with_slots(docs: DataFrame) -> DataFrame:
+    """(text, slot of the id in `id_filter`, whether there is no id)."""
+    return docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("slot"), F.col("doc_id").isNull().alias("unnamed"))
+
+
+FEATURES = ", ".join(f"{w} long" for w in (*VECTOR, *SHARPS)) + ", wide binary"
 
 
 def features(own: np.ndarray) -> tuple:
@@ -492,10 +607,10 @@ def features(own: np.ndarray) -> tuple:
 
 
 def of_classes(spark: SparkSession, docs: DataFrame, wanted: DataFrame, n: int, with_text: bool) -> DataFrame:
-    """One row of each class of `wanted`: (cid, text), or (cid, n_shingles, w0 .., wide) with the numbers of `features`."""
+    """One row of each class of `wanted`: (cid, text), or (cid, n_shingles, v0 .., w0 .., wide) with the numbers of `bins` and `features`."""
     shared = id_filter(spark, wanted.where("rep IS NOT NULL").select("rep").distinct())
     schema = "c1 long, c2 long, n_shingles long, " + ("text string" if with_text else FEATURES)
-    kinds = [pa.int64()] * 3 + ([pa.string()] if with_text else [pa.int64()] * len(SHARPS) + [pa.binary()])
+    kinds = [pa.int64()] * 3 + ([pa.string()] if with_text else [pa.int64()] * (len(VECTOR) + len(SHARPS)) + [pa.binary()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
@@ -505,22 +620,22 @@ def of_classes(spark: SparkSession, docs: DataFrame, wanted: DataFrame, n: int,
                 part = b.slice(a, 1000)
                 rows, use = [], []
                 for k, own in shingle_sets(part.column(0), n):
-                    name = set_name(own, bins(own))
+                    vector = bins(own)
+                    name = set_name(own, vector)
                     if not len(own) or name in done:
                         continue
                     if len(done) >= SEEN:
                         done.clear()
                     done.add(name)
                     use.append(k)
-                    rows.append((*name, len(own), *(() if with_text else features(own))))
+                    rows.append((*name, len(own), *(() if with_text else (*vector.tolist(), *features(own)))))
                 if rows:
                     text = [part.column(0).take(pa.array(use))] if with_text else []
                     yield _batch(schema, kinds, [*(list(c) for c in zip(*rows, strict=True)), *text])
 
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
-    named = docs.select("text", slot.alias("slot"), F.col("doc_id").isNull().alias("unnamed")).mapInArrow(run, schema)
+    named = with_slots(docs).mapInArrow(run, schema)
     on = ["c1", "c2", "n_shingles"]
-    out = ["text"] if with_text else ["n_shingles", *SHARPS, "wide"]
+    out = ["text"] if with_text else ["n_shingles", *VECTOR, *SHARPS, "wide"]
     return written(spark, named.hint("merge").join(wanted.select(*on, "cid"), on).dropDuplicates(on).select("cid", *out), "class_texts" if with_text else "class_vectors")
 
 
@@ -587,7 +702,7 @@ def linked_classes(spark: SparkSession, members: DataFrame, vectors: DataFrame,
     links = tried = roots = None
     for _ in range(STARS):
         found = written(spark, proposals(written(spark, open_members(members, roots), "open"), percent, TOP, VECTOR, whole, tile), "found")
-        offers = found.where("kind = 'pair'").select("b", "a", "far").unionByName(hub_pairs(found, percent))
+        offers = found.where("kind = 'pair'").select("b", "a", "far").unionByName(hub_pairs(spark, found, percent))
         if tried is not None:
             offers = offers.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(tried.toDF("x", "y"), ["x", "y"], "left_anti").select("b", "a", "far")
         best = offers.groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
@@ -614,12 +729,17 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 3, percent:
         sets = scanned.where("block IS NULL").select("doc_id", *on)
         classes = sets.where("n_shingles > 0").groupBy(*on).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
         classes = written(spark, classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-        index = written(spark, index_rows(spark, docs, n, percent, frequent_buckets(scanned)), "index")
-        live = live_rows(index, percent, whole).dropDuplicates(["g", "c1", "c2", "n"]).withColumnRenamed("n", "n_shingles")
-        members = written(spark, live.hint("merge").join(classes.select(*on, "cid"), on).select("g", F.col("n_shingles").alias("n"), "cid", *VECTOR), "members")
-        discard(spark, index)
+        index = written(spark, index_chunks(spark, docs, classes, n, percent, frequent_buckets(scanned)), "index")
+        with small_batches(spark, 16):
+            shared = shared_signatures(spark, index)
+            rows = written(spark, index_rows(index, *signature_filter(spark, shared)), "index_rows")
+        discard(spark, index, shared)
+        live = live_rows(rows, percent, whole).dropDuplicates(LIVE_NAMES).withColumnRenamed("n", "n_shingles")
+        members = written(spark, live.hint("merge").join(classes.select(*on, "cid"), on).select("g", F.col("n_shingles").alias("n"), "cid"), "live")
+        discard(spark, rows)
         wanted = written(spark, classes.join(members.select("cid").distinct(), "cid", "left_semi"), "wanted")
         vectors = of_classes(spark, docs, wanted, n, with_text=False)
+        members = written(spark, members.hint("merge").join(vectors.select("cid", *VECTOR), "cid"), "members")
         roots = linked_classes(spark, members, vectors, docs, wanted, n, percent, whole, tile)
         named = written(spark, classes.join(roots.withColumnRenamed("id", "cid"), "cid", "left"), "named")
         least = written(spark, named.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("classes")), "least")

@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
+from codeatlas.llm import jaccard_join as J
 from codeatlas.llm.components import connected_components
 from codeatlas.llm.jaccard_join import similar_documents
 
@@ -100,6 +102,31 @@ def test_empty(spark):
     assert similar_documents(spark, spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_rows_of_lone_signatures_stay(spark, monkeypatch):
+    """Only rows of signatures of more than one text are dealt out; copies have one text."""
+    texts = [" ".join("u%d_%d" % (k, w) for w in range(200)) for k in range(40)]
+    rows = [*enumerate(texts), *enumerate(texts[:10], 100), (200, texts[0] + " end")]
+    counts, live_rows = [], J.live_rows
+    monkeypatch.setattr(J, "live_rows", lambda index, *args: counts.append(index.count()) or live_rows(index, *args))
+    got = {r.doc_id: r.component_id for r in similar_documents(spark, spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: i for i in range(40)} | {100 + i: i for i in range(10)} | {200: 0}
+    # about 20 rows of each of the two texts that link, of some 800 in all
+    assert 2 <= counts[0] <= 60
+
+
+def test_small_chunks_and_full_filter(spark, monkeypatch):
+    """Signatures met across many chunks; a filter too small to tell any apart only costs time."""
+    monkeypatch.setattr(J, "CHUNK", 50)
+    monkeypatch.setattr(J, "FILTER_MOST", 8)
+    got, want = result(spark, corpus(6), 3, 90)
+    assert got == want
+
+
+def test_coded_numbers():
+    for x in ([], [7], [0, 1, 1 << 40, (1 << 41) - 1], [5, 5, 6]):
+        assert J.decoded(J.coded(np.array(x, dtype=np.uint64))).tolist() == x
+
+
 def test_chain_components(spark):
     edges = [(k, k + 1) for k in range(12)] + [(20, 21), (21, 20), (5, 5)]
     got = {r.id: r.root for r in connected_components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
